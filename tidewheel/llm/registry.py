@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import piece_bpe, sharding, token_counts
+from . import piece_bpe, radix_dedup, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_radix_dedup": radix_dedup.op5_radix_dedup,
+    "op7_simhash": simhash.op7_simhash,
     "op10_piece_bpe": piece_bpe.op10_piece_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_radix_dedup": radix_dedup.ORACLE}
