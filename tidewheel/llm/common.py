@@ -70,4 +70,4 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_CHARS)
 
 
 def out_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, types.get(k)) for k, v in columns.items()], names=list(columns))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import piece_bpe, radix_dedup, sharding, simhash, token_counts
+from . import packing, piece_bpe, quality, radix_dedup, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
+    "op2_linear_grouping": packing.op2_linear_grouping,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_radix_dedup": radix_dedup.op5_radix_dedup,
     "op7_simhash": simhash.op7_simhash,
