@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, piece_bpe, quality, radix_dedup, sharding, simhash, token_counts
+from . import language, packing, piece_bpe, quality, radix_dedup, sharding, simhash, token_counts
 
 QUERIES = {
     "op1_virtual_slots": sharding.op1_virtual_slots,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_radix_dedup": radix_dedup.op5_radix_dedup,
     "op7_simhash": simhash.op7_simhash,
+    "op9_language_id": language.op9_language_id,
     "op10_piece_bpe": piece_bpe.op10_piece_bpe,
 }
 
