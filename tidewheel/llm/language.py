@@ -29,6 +29,8 @@ BUCKETS, LENGTHS, SWITCH = 1 << 15, (1, 2, 3), 12.0
 #: A language uses a script if at least this share of its letters is in it.
 USES = 0.01
 UND = "und"
+#: A filter keeps a text if its main language holds at least this share of its letters.
+MAIN_SHARE = 0.5
 
 # First and last code points of scripts, from the Unicode block list.
 SCRIPTS = {
@@ -270,6 +272,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, ", ".join(schema))
 
 
+def keep_known(docs: DataFrame, main_share: float = MAIN_SHARE) -> DataFrame:
+    """The rows of docs that have a main language; learns from all rows with a language."""
+    model = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+    return predict(given, model, ["row"]).where((F.col("lang_pred") != UND) & (F.col("score") >= main_share)).select("row.*")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents")

@@ -23,13 +23,17 @@ from .common import materialize, table
 #: Bytes of the first digit and the factor from one digit to the next.
 FIRST_DIGIT, GROWTH, WIDEST = 64, 8, 1 << 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-OUT = ("row_id", "doc_id", "text_sha256", "keep_id", "group_size")
 
 
-def groups_of(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
-    """doc_id, text_sha256, keep_id and group_size of every row; keep_id is the group's largest doc_id."""
+def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
+    """doc_id, text_sha256, keep_id and group_size of every row; keep_id is the group's largest doc_id.
+
+    With carry, ``row`` holds all columns of the input row, under names that cannot clash with these.
+    """
+    own = ["row"] if carry else []
     text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    rows = docs.select("doc_id", F.encode(text, "UTF-8").alias("rest"), F.sha2(text, 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"))
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(*row, "doc_id", F.encode(text, "UTF-8").alias("rest"), F.sha2(text, 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"))
     done, width = [], first_digit
     while True:
         cut = rows.withColumn("digit", F.substring("rest", 1, width))
@@ -40,6 +44,7 @@ def groups_of(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GRO
         single = F.col("n").isNull()
         passed = materialize(
             met.select(
+                *own,
                 "doc_id",
                 "text_sha256",
                 F.when(single, F.col("doc_id")).when(ended, F.col("top")).alias("keep_id"),
@@ -49,8 +54,8 @@ def groups_of(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GRO
             ),
             "radix-rows",
         )
-        done.append(passed.where("group_size is not null").select("doc_id", "text_sha256", "keep_id", "group_size"))
-        rows = passed.where("group_size is null").select("doc_id", "rest", "text_sha256", "gid")
+        done.append(passed.where("group_size is not null").select(*own, "doc_id", "text_sha256", "keep_id", "group_size"))
+        rows = passed.where("group_size is null").select(*own, "doc_id", "rest", "text_sha256", "gid")
         if rows.isEmpty():
             break
         width = min(width * growth, WIDEST)
@@ -60,14 +65,19 @@ def groups_of(docs: DataFrame, first_digit: int = FIRST_DIGIT, growth: int = GRO
     return out
 
 
-def exact_dedup(docs: DataFrame, **digits: int) -> DataFrame:
+def exact_dedup(docs: DataFrame, carry: bool = False, **digits: int) -> DataFrame:
     """groups_of with kept: true for one row of each group, one with the largest doc_id."""
-    found = groups_of(docs, **digits)
+    found = groups_of(docs, carry, **digits)
     # rows of a group that share its largest doc_id are told apart by counting them; others never get there
     rivals = found.where("group_size > 1 and doc_id <=> keep_id")
     others = found.where("group_size = 1 or not (doc_id <=> keep_id)").withColumn("kept", F.col("group_size") == 1)
     first = F.row_number().over(W.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
-    return others.unionByName(rivals.withColumn("kept", first)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return others.unionByName(rivals.withColumn("kept", first)).select(*["row"] * carry, "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one of each group of equal texts."""
+    return exact_dedup(docs, carry=True).where("kept").select("row.*")
 
 
 def op5_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

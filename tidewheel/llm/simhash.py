@@ -53,16 +53,19 @@ def fingerprint(text: str, words_each: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_each: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_each: int = 4, carry: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; with carry also ``row``, all columns of the input row."""
+    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
+    given = docs.select(*row, "doc_id", "text")
+    kind = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
                 fps = np.array([fingerprint(t, words_each) for t in texts], dtype=np.uint64).view(np.int64)
-                yield out_batch({"doc_id": part.column("doc_id"), "fp": pa.array(fps)}, {})
+                yield out_batch(({"row": part.column("row")} if carry else {}) | {"doc_id": part.column("doc_id"), "fp": pa.array(fps)}, {})
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, fp bigint")
+    return map_arrow(given, run, f"{kind}doc_id bigint, fp bigint")
 
 
 def block_masks(distance: int, count: int) -> list[int]:
@@ -144,17 +147,32 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row."""
-    prints = materialize(fingerprints(docs, words_each), "fingerprints")
+def named_prints(prints: DataFrame, distance: int) -> DataFrame:
+    """fp, root (its component) and component_id (the component's smallest doc_id) of each distinct fingerprint."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links_of(nodes.select("fp"), distance))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
-    named = materialize(placed.join(lowest, "root").select("fp", "component_id"), "named")
+    return materialize(placed.join(lowest, "root").select("fp", "root", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 4, distance: int = 4) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row."""
+    prints = materialize(fingerprints(docs, words_each), "fingerprints")
+    named = named_prints(prints, distance).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, words_each: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs, one of each component: one with the smallest doc_id."""
+    prints = materialize(fingerprints(docs, words_each, carry=True).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    named = named_prints(prints.select("doc_id", "fp"), distance).select("fp", "root")
+    # ids order nulls last, so that a row without an id stays only where no other is
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
+    stay = prints.select("doc_id", "fp", "place").join(named, "fp").groupBy("root").agg(F.min_by("place", order).alias("place"))
+    return prints.join(materialize(stay.select("place"), "stay"), "place", "left_semi").select("row.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 4 bits."""
     return near_duplicates(table(spark, sf_dir, "documents"))
