@@ -1,4 +1,5 @@
-"""Names of the queries on scheduling tables and their SQL."""
+"""All queries on scheduling tables and their SQL; importing the operator modules fills them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ..operators import aggregates, filters, joins, routing, scans, temporal, transitions, windows  # noqa: F401
+from ..streaming import lifecycle  # noqa: F401
+from .query import ORACLES, QUERIES  # noqa: F401
