@@ -136,7 +136,7 @@ def train(rows: DataFrame) -> Model:
         fold()
         for lang, v in total.items():
             at = np.flatnonzero(v)
-            yield out_batch({"lang": [lang] * len(at), "slot": at, "n": v[at].astype(np.int64)}, {})
+            yield out_batch({"lang": [lang] * len(at), "slot": at, "n": v[at].astype(np.int64)}, {"lang": pa.string()})
 
     sums = map_arrow(rows.select("lang", "text"), run, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     got = sums.collect()  # at most languages x (BUCKETS + scripts) numbers
