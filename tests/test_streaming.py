@@ -1,7 +1,9 @@
-"""Streams give what their batch forms give."""
+"""Streams give what their batch forms give; folds give the outcomes worked out by hand."""
+
+import pytest
 
 from tidewheel.plans.relations import relation
-from tidewheel.streaming import lifecycle
+from tidewheel.streaming import folds, lifecycle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +27,24 @@ def test_windows_and_replays(spark, tmp_path):
     assert once.count() == history.count()
     windows = lifecycle.run_to_table(lifecycle.windowed_counts(read(), "0 seconds"), spark, str(tmp_path / "two"))
     assert 0 < windows.groupBy().sum("n").first()[0] <= 2 * history.count()
+
+
+SCRIPTS = [
+    (folds.claim_fold, [(0, "acquire", "", 0, "ACQUIRED:1"), (10, "acquire", "", 0, "IN_PROGRESS"), (20, "release", "", 2, "REFUSED"), (21, "release", "", 1, "APPLIED"), (22, "acquire", "", 0, "ACQUIRED:2"), (90, "acquire", "", 0, "ACQUIRED:3"), (91, "complete", "", 2, "REFUSED"), (92, "complete", "", 3, "APPLIED"), (99, "acquire", "", 0, "COMPLETED")]),
+    (folds.lease_fold, [(0, "acquire", "a", 0, "TOKEN:1"), (5, "acquire", "b", 0, "HELD"), (6, "acquire", "a", 0, "TOKEN:1"), (40, "renew", "a", 1, "REFUSED"), (41, "acquire", "b", 0, "TOKEN:2"), (42, "renew", "a", 1, "REFUSED"), (43, "release", "b", 2, "APPLIED"), (44, "acquire", "a", 0, "TOKEN:3")]),
+    (folds.target_fold, [(0, "ack", "", 0, "APPLIED"), (1, "ack", "", 0, "ALREADY_APPLIED"), (2, "complete", "FAILED", 0, "APPLIED"), (3, "complete", "FAILED", 0, "ALREADY_APPLIED"), (4, "complete", "SUCCEEDED", 0, "REJECTED"), (5, "ack", "", 0, "REJECTED")]),
+]
+
+
+@pytest.mark.parametrize("fold, script", SCRIPTS)
+def test_folds(spark, tmp_path, fold, script):
+    rows = [(key, seq, at, op, owner, token) for key in (1, 2) for seq, (at, op, owner, token, _) in enumerate(script)]
+    commands = spark.createDataFrame(rows, "key bigint, seq bigint, at bigint, op string, owner string, token bigint")
+    want = {(key, seq): x[4] for key in (1, 2) for seq, x in enumerate(script)}
+    assert {(r["key"], r["seq"]): r["outcome"] for r in folds.fold_batch(commands, fold).collect()} == want
+    half = len(script) // 2
+    for k, part in enumerate((f"seq < {half}", f"seq >= {half}")):
+        commands.where(part).coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+        stream = spark.readStream.schema(commands.schema).parquet(str(tmp_path / "in/*"))
+        got = lifecycle.run_to_table(folds.fold_stream(stream, fold), spark, str(tmp_path / "out"))
+    assert {(r["key"], r["seq"]): r["outcome"] for r in got.collect()} == want

@@ -28,3 +28,18 @@ def duration_ms(text: Column) -> Column:
     """Milliseconds of an ISO duration of days, hours, minutes and seconds."""
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(text, rf"(-?[0-9.]+){unit}", 1), F.lit("")).cast("double"), F.lit(0.0))
     return F.round(1000 * (86400 * part("D") + 3600 * part("H") + 60 * part("M") + part("S"))).cast("long")
+
+
+def encode_snapshot(column: Column) -> Column:
+    """A map as a versioned JSON envelope with a base64url payload without padding."""
+    payload = F.rtrim(F.translate(F.base64(F.encode(encode_map(column), "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+    return F.concat(F.lit('{"schemaVersion":1,"payload":"'), payload, F.lit('"}'))
+
+
+def decode_snapshot(text: Column) -> Column:
+    """The map of an envelope, or of the plain form from before envelopes; null for another version."""
+    payload = F.translate(F.get_json_object(text, "$.payload"), "-_", "+/")
+    padded = F.rpad(payload, (F.ceil(F.length(payload) / 4) * 4).cast("int"), F.lit("="))
+    inner = F.decode(F.unbase64(padded), "UTF-8")
+    known = F.get_json_object(text, "$.schemaVersion") == "1"
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", decode_map(F.lit(""))).when(~F.trim(text).startswith("{"), decode_map(text)).when(known, decode_map(inner))

@@ -90,6 +90,19 @@ def map_codec(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", codecs.encode_map(made).alias("parameters"))
 
 
+@query(
+    "e10_snapshot_codec",
+    "jobs",
+    """SELECT job_id, concat('{"schemaVersion":1,"payload":"', rtrim(replace(replace(to_base64(encode(p)), '+', '-'), '/', '_'), '='), '"}') AS snapshot, job_name AS name
+       FROM (SELECT job_id, job_name, concat('group=', group_id, '&name=', replace(job_name, '#', '%23')) AS p FROM jobs)""",
+)
+def snapshot_codec(jobs: DataFrame) -> DataFrame:
+    """A job's snapshot, and its name read back from it."""
+    made = F.create_map(F.lit("name"), "job_name", F.lit("group"), F.col("group_id").cast("string"))
+    coded = jobs.select("job_id", codecs.encode_snapshot(made).alias("snapshot"))
+    return coded.withColumn("name", codecs.decode_snapshot(F.col("snapshot"))["name"])
+
+
 @query("e14_retry_source_id", "executions", "SELECT execution_id, CASE WHEN run_attempt <= 2 THEN CAST(root_execution_id AS VARCHAR) ELSE concat(root_execution_id, '@attempt:', run_attempt - 1) END AS source FROM executions")
 def retry_source_id(executions: DataFrame) -> DataFrame:
     """Attempt 2 follows the root itself, a later one the attempt before."""
