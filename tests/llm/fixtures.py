@@ -17,14 +17,14 @@ TEXTS = [
     "x" * 30000,
     "line one\nline two\nline one\nLine one\n   \nline two",
 ]
-EXTRA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, digest string, score double, `part` int, keep_id bigint"
+EXTRA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, digest string, score double, `part` int, keep_id bigint, `odd name.x` string"
 
 
 def documents(spark, texts=TEXTS, ids=None):
     """Rows with extra columns whose names the operators use inside; a null id and a repeated row among them."""
     ids = list(range(len(texts))) if ids is None else ids
     langs = ["en", "fr", None]
-    rows = [(i, t, langs[k % 3], f"s{k % 2}", len(t or ""), "r", "d", 0.5, 1, 7) for k, (i, t) in enumerate(zip(ids, texts))]
+    rows = [(i, t, langs[k % 3], f"s{k % 2}", len(t or ""), "r", "d", 0.5, 1, 7, "o") for k, (i, t) in enumerate(zip(ids, texts))]
     return spark.createDataFrame(rows, EXTRA)
 
 

@@ -54,8 +54,7 @@ def test_quality_ratio(spark):
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
     raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     for r in docs.collect():
-        words = quality.Words()
-        bucket, _ = quality.grams(words, [words.of(quality.split(r["text"] or ""))], quality.BUCKETS)
+        bucket, _ = quality.Hashed([r["text"] or ""]).grams(quality.BUCKETS)
         n = np.bincount(bucket, minlength=quality.BUCKETS)
         raw += n
         target += n * (r["doc_id"] in good)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch; together with CHUNK_CHARS it bounds a Python worker's memory.
 BATCH_ROWS = 1000
@@ -50,7 +51,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def whole_row(docs: DataFrame):
+    """All columns of a row as one, ``row``, so that an operator's own names cannot clash with them."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def with_columns(docs: DataFrame, keep: list[str], more: str) -> StructType:
+    """The schema of some columns of docs and of further ones."""
+    return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import chunks, map_arrow, out_batch, table
+from .common import chunks, map_arrow, out_batch, table, whole_row, with_columns
 
 #: Hash buckets of n-grams, the lengths of n-grams, and the price of a switch in log units.
 BUCKETS, LENGTHS, SWITCH = 1 << 15, (1, 2, 3), 12.0
@@ -252,7 +252,6 @@ class Labeller:
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in ``keep``, lang_pred, score and spans (the number of labelled spans) of every row."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     names = np.array([*model.languages, UND], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +267,13 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     out["spans"].append(int((np.diff(labels) != 0).sum()) + 1 if total else 0)
                 yield out_batch(out, {"lang_pred": pa.string(), "score": pa.float64(), "spans": pa.int64()})
 
-    schema = [f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double", "spans bigint"]
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, ", ".join(schema))
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, with_columns(docs, keep, "lang_pred string, score double, spans bigint"))
 
 
 def keep_known(docs: DataFrame, main_share: float = MAIN_SHARE) -> DataFrame:
     """The rows of docs that have a main language; learns from all rows with a language."""
     model = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "text")
+    given = docs.select(whole_row(docs), "text")
     return predict(given, model, ["row"]).where((F.col("lang_pred") != UND) & (F.col("score") >= main_share)).select("row.*")
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import chunks, map_arrow, materialize, out_batch, table
+from .common import chunks, map_arrow, materialize, out_batch, table, whole_row, with_columns
 
 SEED, BITS = 42, 64
 #: Fingerprints in a tile; a pair of tiles is compared at once.
@@ -55,9 +55,7 @@ def fingerprint(text: str, words_each: int) -> int:
 
 def fingerprints(docs: DataFrame, words_each: int = 4, carry: bool = False) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long; with carry also ``row``, all columns of the input row."""
-    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
-    given = docs.select(*row, "doc_id", "text")
-    kind = f"row {given.schema['row'].dataType.simpleString()}, " if carry else ""
+    given = docs.select(*[whole_row(docs)] * carry, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +63,7 @@ def fingerprints(docs: DataFrame, words_each: int = 4, carry: bool = False) -> D
                 fps = np.array([fingerprint(t, words_each) for t in texts], dtype=np.uint64).view(np.int64)
                 yield out_batch(({"row": part.column("row")} if carry else {}) | {"doc_id": part.column("doc_id"), "fp": pa.array(fps)}, {})
 
-    return map_arrow(given, run, f"{kind}doc_id bigint, fp bigint")
+    return map_arrow(given, run, with_columns(given, ["row"] * carry, "doc_id bigint, fp bigint"))
 
 
 def block_masks(distance: int, count: int) -> list[int]:
