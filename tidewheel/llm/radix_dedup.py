@@ -39,7 +39,8 @@ def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIG
         cut = rows.withColumn("digit", F.substring("rest", 1, width))
         groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
-        met = cut.join(groups, ["gid", "digit"], "left")
+        # the same join at every size: whether groups would fit a broadcast says nothing about the corpus
+        met = cut.join(groups.hint("merge"), ["gid", "digit"], "left")
         ended = F.octet_length("digit") < width  # a text that fills its digit goes on, and ends with an empty one
         single = F.col("n").isNull()
         passed = materialize(
