@@ -59,7 +59,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     for k in range(bits - 1, -1, -1):
         ones = (now & number.dtype.type(1 << k)) != 0
         planes.append(np.packbits(ones, bitorder="little").tobytes())
-        now = np.concatenate((now[~ones], now[ones]))
+        now = np.concatenate((now[np.flatnonzero(~ones)], now[np.flatnonzero(ones)]))  # places are faster than masks
     null = np.array([d is None for d in doc_ids], bool)
     head = struct.pack("<QQII", len(ids), len(doc_ids), len(alphabet), bits)
     docs = np.array([d or 0 for d in doc_ids], np.int64)
@@ -154,8 +154,8 @@ class WaveletMatrix:
             ones = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
             zeros = self.n - int(np.count_nonzero(ones))
             before = np.empty_like(now)
-            before[~ones] = now[:zeros]
-            before[ones] = now[zeros:] | kind(1 << k)
+            before[np.flatnonzero(~ones)] = now[:zeros]
+            before[np.flatnonzero(ones)] = now[zeros:] | kind(1 << k)
             now = before
         return self.alphabet[now] if self.n else np.zeros(0, np.uint32)
 
