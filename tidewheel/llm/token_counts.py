@@ -21,7 +21,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import chunks, map_arrow, out_batch, scratch, table
+from .common import chunks, map_arrow, materialize, out_batch, scratch, table
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -53,7 +53,9 @@ def fill_cache(docs: DataFrame, cache_dir: str, model: bytes) -> DataFrame:
     misses = distinct.join(known, "digest", "left_anti")
     counted = map_arrow(misses, encoder(model), "digest binary, n_tokens bigint")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
-    return spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    now = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer") == version)
+    # two writers may have appended one digest; written, so that Spark can split a hot digest in the join that follows
+    return materialize(now.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "token-counts")
 
 
 def token_counts(docs: DataFrame, cache_dir: str, model_path: str, limit: int = 4096) -> DataFrame:
