@@ -3,7 +3,8 @@
 import pytest
 
 from tidewheel.plans.relations import relation
-from tidewheel.streaming import folds, lifecycle
+from tidewheel.streaming import deadlines, folds, lifecycle
+from tidewheel.streaming.handlers import Handlers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -48,3 +49,48 @@ def test_folds(spark, tmp_path, fold, script):
         stream = spark.readStream.schema(commands.schema).parquet(str(tmp_path / "in/*"))
         got = lifecycle.run_to_table(folds.fold_stream(stream, fold), spark, str(tmp_path / "out"))
     assert {(r["key"], r["seq"]): r["outcome"] for r in got.collect()} == want
+
+
+def test_deadlines(spark, tmp_path):
+    """Key 1 ends in time, key 2 expires, key 3 is kept alive by a later event until it expires too."""
+    at = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    batches = [
+        [(1, at(0), "start", at(30)), (2, at(0), "start", at(30)), (3, at(0), "start", at(30))],
+        [(1, at(20), "done", at(30)), (3, at(25), "beat", at(90))],
+        [(9, at(60), "start", at(3000))],
+        [(9, at(61), "start", at(3000))],
+        [(9, at(120), "start", at(3000))],
+        [(9, at(121), "start", at(3000))],
+    ]
+    ddl = "key bigint, at string, op string, deadline string"
+    schema = "key bigint, at timestamp, op string, deadline timestamp"
+    outcomes = []
+    for k, rows in enumerate(batches):
+        typed = spark.createDataFrame(rows, ddl).selectExpr("key", "CAST(at AS TIMESTAMP) AS at", "op", "CAST(deadline AS TIMESTAMP) AS deadline")
+        typed.coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*"))
+        got = lifecycle.run_to_table(deadlines.expire(stream), spark, str(tmp_path / "out"))
+        outcomes.append({(r["key"], r["outcome"]) for r in got.collect()})
+    assert outcomes[1] == {(1, "DONE")}
+    assert outcomes[-1] == {(1, "DONE"), (2, "EXPIRED"), (3, "EXPIRED")}
+
+
+def test_handlers(spark, tmp_path):
+    handlers, seen = Handlers(), {}
+
+    @handlers.register("clean-up")
+    def clean(rows):
+        seen["clean-up"] = sorted(r["id"] for r in rows.collect())
+
+    @handlers.register("report")
+    def report(rows):
+        seen["report"] = rows.count()
+
+    with pytest.raises(ValueError):
+        handlers.register("report")(report)
+    rows = spark.createDataFrame([(1, "clean-up"), (2, "report"), (3, "clean-up")], "id int, handler_name string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    handlers.start(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "checkpoint")).awaitTermination()
+    assert seen == {"clean-up": [1, 3], "report": 1}
+    with pytest.raises(LookupError):
+        handlers.run_batch(rows.selectExpr("id", "'unknown' AS handler_name"))
