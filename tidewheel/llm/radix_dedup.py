@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import materialize, table
+from .common import materialize, table, whole_row
 
 #: Bytes of the first digit and the factor from one digit to the next.
 FIRST_DIGIT, GROWTH, WIDEST = 64, 8, 1 << 24
@@ -30,36 +30,37 @@ def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIG
 
     With carry, ``row`` holds all columns of the input row, under names that cannot clash with these.
     """
-    own = ["row"] if carry else []
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    row = [F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(*row, "doc_id", F.encode(text, "UTF-8").alias("rest"), F.sha2(text, 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"))
-    done, width = [], first_digit
+    own = ["row"] * carry
+    # rows that are carried hold their text already; others carry what is left of it
+    text = lambda column: F.encode(F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER), "UTF-8")
+    rest = [] if carry else ["rest"]
+    start = [whole_row(docs)] if carry else [text("text").alias("rest")]
+    rows = docs.select(*start, "doc_id", F.sha2(text("text"), 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"))
+    done, width, offset = [], first_digit, 0
     while True:
-        cut = rows.withColumn("digit", F.substring("rest", 1, width))
+        cut = rows.withColumn("digit", F.substring(text("row.text"), offset + 1, width) if carry else F.substring("rest", 1, width))
         groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
         # the same join at every size: whether groups would fit a broadcast says nothing about the corpus
         met = cut.join(groups.hint("merge"), ["gid", "digit"], "left")
         ended = F.octet_length("digit") < width  # a text that fills its digit goes on, and ends with an empty one
         single = F.col("n").isNull()
-        passed = materialize(
-            met.select(
-                *own,
-                "doc_id",
-                "text_sha256",
-                F.when(single, F.col("doc_id")).when(ended, F.col("top")).alias("keep_id"),
-                F.when(single, F.lit(1).cast("long")).when(ended, F.col("n")).alias("group_size"),
-                F.when(~single & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
-                F.col("next").alias("gid"),
-            ),
-            "radix-rows",
+        later = [] if carry else [F.when(~single & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")]
+        passed = met.select(
+            *own,
+            *later,
+            "doc_id",
+            "text_sha256",
+            F.when(single, F.col("doc_id")).when(ended, F.col("top")).alias("keep_id"),
+            F.when(single, F.lit(1).cast("long")).when(ended, F.col("n")).alias("group_size"),
+            F.col("next").alias("gid"),
         )
+        passed = materialize(passed, "radix-rows")
         done.append(passed.where("group_size is not null").select(*own, "doc_id", "text_sha256", "keep_id", "group_size"))
-        rows = passed.where("group_size is null").select(*own, "doc_id", "rest", "text_sha256", "gid")
+        rows = passed.where("group_size is null").select(*own, *rest, "doc_id", "text_sha256", "gid")
         if rows.isEmpty():
             break
-        width = min(width * growth, WIDEST)
+        offset, width = offset + width, min(width * growth, WIDEST)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -168,7 +168,8 @@ def keep_one(docs: DataFrame, words_each: int = 4, distance: int = 4) -> DataFra
     # ids order nulls last, so that a row without an id stays only where no other is
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
     stay = prints.select("doc_id", "fp", "place").join(named, "fp").groupBy("root").agg(F.min_by("place", order).alias("place"))
-    return prints.join(materialize(stay.select("place"), "stay"), "place", "left_semi").select("row.*")
+    # the same join at every size: whether places would fit a broadcast says nothing about the corpus
+    return prints.join(materialize(stay.select("place"), "stay").hint("merge"), "place", "left_semi").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
