@@ -59,6 +59,12 @@ def fast_encoding(data: bytes):
     return tiktoken.Encoding("json", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encoder(data: bytes):
+    """The function from a text to its ids, a uint32 array without added special tokens; get it once for many texts."""
+    encode = fast_encoding(data).encode_to_numpy
+    return lambda text: encode(text, allowed_special="all")
+
+
 def encode_ids(data: bytes, text: str):
-    """Token ids of one text as a uint32 array, without added special tokens."""
-    return fast_encoding(data).encode_to_numpy(text, allowed_special="all")
+    """Token ids of one text."""
+    return encoder(data)(text)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .bpe import encode_ids
+from .bpe import encoder
 from .common import chunks, map_arrow, materialize, out_batch, small_table, table
 
 #: Groups of long lengths, the share of a sequence above which a length is long, and rank buckets of a length.
@@ -41,11 +41,12 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     tokenizer = Path(tokenizer_path).read_bytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
         for batch in batches:
             for part, texts in chunks(batch):
                 out: dict[str, list[int]] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-                    ids = np.append(encode_ids(tokenizer, text), 0).astype("<u4")
+                    ids = np.append(encode(text), 0).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         for name, v in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a:b]))):

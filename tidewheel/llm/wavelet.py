@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .bpe import encode_ids, ranks_of_json
+from .bpe import encoder, ranks_of_json
 from .common import chunks, map_arrow, out_batch, scratch, table
 
 MAGIC = b"TWWM\x01"
@@ -168,6 +168,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_no, seq, size = TaskContext.get().partitionId(), 0, 0
+        encode = encoder(tokenizer)
         held: list[np.ndarray] = []
         names: list[int | None] = []
 
@@ -179,7 +180,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens
         for batch in batches:
             for part, texts in chunks(batch):
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-                    ids = np.append(encode_ids(tokenizer, text), 0).astype(kind)
+                    ids = np.append(encode(text), 0).astype(kind)
                     held.append(ids)
                     names.append(doc_id)
                     size += len(ids)
