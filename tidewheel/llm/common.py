@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch; together with CHUNK_CHARS it bounds a Python worker's memory.
 BATCH_ROWS = 1000
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 800_000
 
 
 def shared_dir(spark: SparkSession) -> str:
