@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import aggregates, transitions, windows
+from tidewheel.operators import aggregates, joins, temporal, transitions, windows
 from tidewheel.plans.query import TERMINAL
 
 ALL = ("DISPATCHING", "DISPATCHED", "RUNNING", *TERMINAL)
@@ -56,3 +56,14 @@ def test_due_batch_ties(spark):
     got = windows.due_batch(jobs.where("job_id > 4"), 5).collect()
     assert [r["job_id"] for r in got] == [5, 6] and not any(r["truncated"] for r in got)
     assert windows.due_batch(jobs.where("job_id = 10"), 5).count() == 0
+
+
+def test_no_job_is_left_out(spark):
+    """Fires and timeouts of jobs whatever their id; only a job that is missing expires its executions now."""
+    jobs = spark.createDataFrame([(k, "2024-01-30 08:00:00", 90) for k in (3, 17, 20, 340, 5000)], "job_id int, t string, timeout_s int").withColumn("next_fire_time", F.col("t").cast("timestamp_ntz"))
+    fires = temporal.cron_fires(jobs, "0 0 9 * * *", "UTC", 1).collect()
+    assert {r["job_id"]: str(r["fire_time"]) for r in fires} == {k: "2024-01-30 09:00:00" for k in (3, 17, 20, 340, 5000)}
+    runs = spark.createDataFrame([(1, 17, "2024-01-30 08:00:00", None), (2, 340, "2024-01-30 08:00:00", None), (3, 3, "2024-01-30 08:00:00", "2024-01-30 10:00:00"), (4, 99, "2024-01-30 08:00:00", None)], "execution_id int, job_id int, d string, t string")
+    runs = runs.select("execution_id", "job_id", F.col("d").cast("timestamp_ntz").alias("dispatch_time"), F.col("t").cast("timestamp_ntz").alias("timeout_at"))
+    got = {r["execution_id"]: str(r["timeout_at"]) for r in joins.timeout_backfill(runs, jobs).collect()}
+    assert got == {1: "2024-01-30 08:01:30", 2: "2024-01-30 08:01:30", 3: "2024-01-30 10:00:00", 4: "2024-01-31 00:00:00"}

@@ -72,9 +72,15 @@ def next_cursor(jobs: DataFrame) -> DataFrame:
 
 
 @query("t03_cron_fires_utc", "jobs", "SELECT job_id, d + m * INTERVAL '1' MINUTE AS fire_time FROM (SELECT job_id, next_fire_time FROM jobs WHERE job_id < 20), range({now} - INTERVAL '1' DAY, {now} + INTERVAL '5' DAY, INTERVAL '1' DAY) r(d), range(0, 1440, 20) s(m) WHERE m BETWEEN 540 AND 659 AND dayofweek(d) BETWEEN 1 AND 5 AND d + m * INTERVAL '1' MINUTE > next_fire_time AND d + m * INTERVAL '1' MINUTE <= next_fire_time + INTERVAL '3' DAY", text="0 */20 9-10 * * MON-FRI", zone="UTC", days=3, below=20)
-def cron_fires(jobs: DataFrame, text: str, zone: str, days: int, below: int) -> DataFrame:
-    """Fires of a cron schedule for the first jobs, from each one's cursor."""
-    rows = jobs.where(F.col("job_id") < below).select("job_id", "next_fire_time")
+def first_cron_fires(jobs: DataFrame, text: str, zone: str, days: int, below: int) -> DataFrame:
+    """The fires of the first jobs only, as the registered SQL has them."""
+    return cron_fires(jobs.where(F.col("job_id") < below), text, zone, days)
+
+
+@query("t03b_cron_fires_all", "jobs", "SELECT job_id, d + m * INTERVAL '1' MINUTE AS fire_time FROM jobs, range({now} - INTERVAL '1' DAY, {now} + INTERVAL '5' DAY, INTERVAL '1' DAY) r(d), range(0, 1440, 20) s(m) WHERE m BETWEEN 540 AND 659 AND dayofweek(d) BETWEEN 1 AND 5 AND d + m * INTERVAL '1' MINUTE > next_fire_time AND d + m * INTERVAL '1' MINUTE <= next_fire_time + INTERVAL '3' DAY", text="0 */20 9-10 * * MON-FRI", zone="UTC", days=3)
+def cron_fires(jobs: DataFrame, text: str, zone: str, days: int) -> DataFrame:
+    """Fires of a cron schedule for every job, from each one's cursor."""
+    rows = jobs.select("job_id", "next_fire_time")
     return cron.fires(rows, cron.parse(text), zone, "next_fire_time", days).select("job_id", "fire_time")
 
 
