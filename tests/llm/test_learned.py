@@ -208,6 +208,20 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in html_text.extract(pages).collect()} == {"Same\n\ntext of a copied page"}
 
 
+@pytest.mark.parametrize("start", ["<body><div>", "<div>", "<p>", "", "<b></b>", "<br>", "<svg></svg>", "<body><main>", "<noscript>n</noscript><link rel=x><p>"])
+def test_head_left_open(start):
+    """Whatever cannot stand in a head ends it; what can stays out of the text."""
+    source = f"<html><head><title>t</title><meta charset=utf-8><style>s</style>\n{start}Text <i>of</i> the page"
+    assert html_text.main_text(source, set()) == "Text of the page"
+    assert html_text.main_text("<head><title>t</title></head><body><p>Text", set()) == "Text"
+
+
+def test_pages_without_head_end(spark):
+    page = "<!doctype html><html><head><title>x</title><body><div>Home</div><p>Text {0}<p>More {0}</html>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page.format(f"t{i}")) for i in range(6)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == {i: f"Text t{i}\n\nMore t{i}" for i in range(6)}
+
+
 def test_pages_of_testdata(spark):
     import html
 

@@ -39,7 +39,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "table", "caption", "figcaption"}
 BOX = {"html", "body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "dl", "figure", "form", "menu", "dialog", "fieldset", "address", "center", "details", "summary", "hgroup", "tfoot", "search"}
 BLOCKS = PROSE | BOX | {"hr", "br"} | RAW
-CLOSED_BY = {"p": BLOCKS - {"br"} - RAW, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+HEAD = {"title", "script", "style", "noscript", "template", "noframes", "base", "link", "meta"}
+CLOSED_BY = {"p": BLOCKS - {"br"} - RAW, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": (BLOCKS | DROPPED) - HEAD}
 # Words in class, id or role that mark an element as no part of the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "banners", "sidebar", "sidebars", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "comment", "comments", "commentlist", "respond", "disqus", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "popup", "modal", "widget", "widgets", "toolbar", "skip", "complementary", "contentinfo", "search"}
 ARTICLE = {"article", "main"}
@@ -65,11 +66,15 @@ def parse(source: str) -> Node:
         if m.start() < at:
             continue
         if m.start() > at:
+            if node.tag == "head" and not source[at : m.start()].isspace():  # text or an inline tag ends an open head
+                node = node.parent
             node.items.append(source[at : m.start()])
         at = m.end()
         name = m[2] and m[2].lower()
         if not name:
             continue
+        if node.tag == "head" and not m[1] and name not in BLOCKS | DROPPED | HEAD:
+            node = node.parent
         if m[1]:
             if name in BLOCKS or name in DROPPED:
                 up = node
@@ -82,6 +87,7 @@ def parse(source: str) -> Node:
                     node = up.parent
             continue
         if name == "br":
+            node = node.parent if node.tag == "head" else node
             node.items.append(" ")
             continue
         if name not in BLOCKS and name not in DROPPED:
@@ -104,6 +110,7 @@ def parse(source: str) -> Node:
         elif name not in VOID and not m[3].endswith("/"):
             node = child
     if at < n:
+        node = node.parent if node.tag == "head" and not source[at:].isspace() else node
         node.items.append(source[at:])
     return root
 
