@@ -208,6 +208,28 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in html_text.extract(pages).collect()} == {"Same\n\ntext of a copied page"}
 
 
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize("limit", [html_text.BROADCAST_ROWS, -1])
+def test_near_copies_keep_their_text(spark, article, limit):
+    """Five near copies among twenty pages share passages and lists; what half of the host's pages have goes."""
+    shared = "<div><p>A passage of a notice.</p></div><ul><li>one</li><li>two</li></ul><p>Its end.</p>"
+    box = "<article>{}</article>" if article else "{}"
+    page = "<body><div>Home News</div><div>" + box + "</div><div>Contact</div></body>"
+    rows = [(i, f"http://h/{i}", page.format(f"<h1>Copy {i}</h1>{shared}" if i < 5 else f"<p>Own text {i}</p>")) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_rows=limit).collect()}
+    tail = "A passage of a notice.\n\none\n\ntwo\n\nIts end."
+    assert got == {i: f"Copy {i}\n\n{tail}" if i < 5 else f"Own text {i}" for i in range(20)}
+
+
+def test_one_article_under_many_addresses(spark):
+    """Only text outside the article differs: the article and its list stay, a box in it and an article of boxes only do not."""
+    page = "<body><div>page {0} of 9</div><div><main><div>Buy now</div><h1>Title</h1><ul><li>one</li></ul><p>Text</p></main></div></body>"
+    empty = "<body><main><div>Buy now</div></main><div>Real text {0}</div></body>"
+    rows = [(i, f"http://h/{i}", (page if i < 9 else empty).format(i)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: "Title\n\none\n\nText" if i < 9 else f"Real text {i}" for i in range(12)}
+
+
 @pytest.mark.parametrize("start", ["<body><div>", "<div>", "<p>", "", "<b></b>", "<br>", "<svg></svg>", "<body><main>", "<noscript>n</noscript><link rel=x><p>"])
 def test_head_left_open(start):
     """Whatever cannot stand in a head ends it; what can stays out of the text."""

@@ -3,12 +3,13 @@
 A page is parsed into elements; the subtree of each block element has a hash of its tags and
 text. Spark counts, for each host, on how many different pages a subtree stands, where pages
 with the same body count once, so that copies of a page are no template. A subtree that
-recurs across many pages of its host is template and goes with all it holds, as do elements
+recurs on a share of its host's pages, and on a few at least, is template and goes with all it holds, as do elements
 whose tag or whose class or id says that they are no part of the article (a host with one page
 has no recurrence to go by).
 
-Inside an article, recurrence alone removes only containers, never headings, paragraphs, list items,
-quotes, code and tables: passages that several articles of a host share are their text.
+An article (article or main) and what holds one is never template. Inside an article, recurrence alone
+removes only containers, never headings, paragraphs, lists, figures, quotes, code and tables: passages that
+several articles of a host share are their text. If nothing is left of a page's articles, the rest of the page counts.
 
 Defined cases: null and empty html, and pages without text, give an empty text; a url without a host, or
 a null one, counts under the empty host; repeated rows each get a row; unclosed, crossed or stray
@@ -29,6 +30,8 @@ from .common import chunks, map_arrow, materialize, out_batch, table
 
 #: Different pages of a host on which a subtree must stand, at least, to be template.
 PAGES_AT_LEAST = 4
+#: The share of its host's different pages on which it must stand besides.
+SHARE_AT_LEAST = 0.5
 #: Template rows that may be broadcast; beyond, pages meet their own rows by a join.
 BROADCAST_ROWS = 400_000
 
@@ -44,6 +47,8 @@ CLOSED_BY = {"p": BLOCKS - {"br"} - RAW, "li": {"li"}, "dt": {"dt", "dd"}, "dd":
 # Words in class, id or role that mark an element as no part of the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "banners", "sidebar", "sidebars", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "comment", "comments", "commentlist", "respond", "disqus", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "popup", "modal", "widget", "widgets", "toolbar", "skip", "complementary", "contentinfo", "search"}
 ARTICLE = {"article", "main"}
+#: What recurrence leaves inside an article.
+TEXT = PROSE | {"ul", "ol", "dl", "figure"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -132,15 +137,34 @@ def hashes(root: Node) -> dict[int, int]:
     return out
 
 
+def candidate(node: Node, inside: bool, holding: set[int]) -> bool:
+    """Whether a subtree may be template; ``inside`` an article or not."""
+    return node.parent is not None and id(node) not in holding and not (inside and node.tag in TEXT)
+
+
+def holding(root: Node) -> set[int]:
+    """Identities of the articles and of all that holds one."""
+    out, stack = set(), [root]
+    while stack:
+        node = stack.pop()
+        stack.extend(x for x in node.items if isinstance(x, Node))
+        if node.tag in ARTICLE:
+            up = node
+            while up is not None and id(up) not in out:
+                out.add(id(up))
+                up = up.parent
+    return out
+
+
 def page_hashes(source: str) -> tuple[int, list[int]]:
     """The hash of the body without marked elements, and the hashes of the subtrees that count as template candidates."""
     root = parse(source)
-    found, own = hashes(root), set()
+    found, held, own = hashes(root), holding(root), set()
     stack, kept = [(root, False)], []
     while stack:
         node, inside = stack.pop()
         inside = inside or node.tag in ARTICLE
-        if node.parent is not None and not node.marked and not (inside and node.tag in PROSE):
+        if not node.marked and candidate(node, inside, held):
             own.add(found[id(node)])
         for x in reversed(node.items):
             if isinstance(x, str):
@@ -159,13 +183,12 @@ def hash_of(text: str) -> int:
 def main_text(source: str, template: set[int]) -> str:
     """Blocks of the article, in page order, without marked and template subtrees."""
     root = parse(source)
-    found = hashes(root) if template else {}
-    has_article = False
-    stack = [root]
-    while stack and not has_article:
-        node = stack.pop()
-        has_article = node.tag in ARTICLE
-        stack.extend(x for x in node.items if isinstance(x, Node) and not x.marked)
+    found, held = hashes(root) if template else {}, holding(root)
+    return "\n\n".join((held and blocks_of(root, found, held, template, True)) or blocks_of(root, found, held, template, False))
+
+
+def blocks_of(root: Node, found: dict[int, int], held: set[int], template: set[int], only_articles: bool) -> list[str]:
+    """The blocks that are left, of the whole page or of its articles only."""
     blocks, now = [], []
 
     def flush() -> None:
@@ -180,44 +203,50 @@ def main_text(source: str, template: set[int]) -> str:
             flush()
             continue
         if isinstance(item, str):
-            if inside or not has_article:
+            if inside or not only_articles:
                 now.append(item)
             continue
         inside = inside or item.tag in ARTICLE
         flush()
-        if item.marked or (item.tag == "header" and not inside):
+        if item.marked or (item.tag == "header" and not inside and id(item) not in held):
             continue
-        if found and item.parent is not None and not (inside and item.tag in PROSE) and found[id(item)] in template:
+        if found and candidate(item, inside, held) and found[id(item)] in template:
             continue
         work.append((None, inside))
         work.extend((x, inside) for x in reversed(item.items))
     flush()
-    return "\n\n".join(blocks)
+    return blocks
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, at_least: int = PAGES_AT_LEAST) -> DataFrame:
-    """host and hash (of host and subtree) that stand on at least so many different pages of a host.
+def templates(pages: DataFrame, at_least: int = PAGES_AT_LEAST, share: float = SHARE_AT_LEAST) -> DataFrame:
+    """key (hash of host and subtree) of what stands on at least so many, and such a share, of the different pages of a host.
 
     Pages with the same body are one row before they are counted; a hot host spreads over its hashes.
+    A page also counts under its host itself (key = site), which gives the host's different pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sources in chunks(batch, "html"):
-                keys, bodies = [], []
+                sites, keys, bodies = [], [], []
                 for host, source in zip(part.column("host").to_pylist(), sources):
                     body, own = page_hashes(source)
-                    own = [h ^ hash_of(host) for h in own]
+                    site = hash_of(host)
+                    own = [site, *(h ^ site for h in own)]
+                    sites += [site] * len(own)
                     keys += own
                     bodies += [body] * len(own)
-                yield out_batch({"key": keys, "body": bodies}, {"key": pa.int64(), "body": pa.int64()})
+                yield out_batch({"site": sites, "key": keys, "body": bodies}, {k: pa.int64() for k in ("site", "key", "body")})
 
-    seen = map_arrow(pages.select("host", "html"), run, "key bigint, body bigint")
-    return seen.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= at_least).select("key")
+    seen = map_arrow(pages.select("host", "html"), run, "site bigint, key bigint, body bigint")
+    counts = seen.distinct().groupBy("site", "key").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= at_least)
+    counts = materialize(counts, "counts")
+    sites = counts.where("key = site").select("site", F.col("pages").alias("of"))
+    return counts.where("key <> site").join(sites, "site").where(F.col("pages") >= F.lit(share) * F.col("of")).select("key")
 
 
 def extract(pages: DataFrame, at_least: int = PAGES_AT_LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
