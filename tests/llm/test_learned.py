@@ -230,6 +230,18 @@ def test_one_article_under_many_addresses(spark):
     assert got == {i: "Title\n\none\n\nText" if i < 9 else f"Real text {i}" for i in range(12)}
 
 
+SLUGS = ["<h2 id='related-work'>{}</h2>", "<h2 id=social-history class=share>{}</h2>", "<section id='notice-of-appeal'>{}</section>", "<section class='related-work' id=search>{}</section>", "<p id=comment class='skip-none'>{}</p>", "<ol><li id=login>{}</li></ol>"]
+BOXES = ["<div class='share-price'>{}</div>", "<div id='social-history'>{}</div>"]
+
+
+@pytest.mark.parametrize("part", SLUGS + BOXES)
+def test_slugs_mark_no_text(part):
+    for tag in ("article", "main", "body")[: 2 if part in BOXES else 3]:
+        source = f"<body><{tag}><h1>T</h1>{part.format('kept')}<div class='share'>gone</div><div class='box related'>gone</div></{tag}>"
+        assert html_text.main_text(source, set()) == "T\n\nkept"
+    assert html_text.main_text("<div id=site-nav>gone</div><div role=search>gone</div><p>kept", set()) == "kept"
+
+
 @pytest.mark.parametrize("start", ["<body><div>", "<div>", "<p>", "", "<b></b>", "<br>", "<svg></svg>", "<body><main>", "<noscript>n</noscript><link rel=x><p>"])
 def test_head_left_open(start):
     """Whatever cannot stand in a head ends it; what can stays out of the text."""

@@ -44,7 +44,7 @@ BOX = {"html", "body", "div", "section", "article", "main", "header", "footer",
 BLOCKS = PROSE | BOX | {"hr", "br"} | RAW
 HEAD = {"title", "script", "style", "noscript", "template", "noframes", "base", "link", "meta"}
 CLOSED_BY = {"p": BLOCKS - {"br"} - RAW, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": (BLOCKS | DROPPED) - HEAD}
-# Words in class, id or role that mark an element as no part of the article.
+# Words in class, id or role that mark a container as no part of the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "banners", "sidebar", "sidebars", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "masthead", "comment", "comments", "commentlist", "respond", "disqus", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "popup", "modal", "widget", "widgets", "toolbar", "skip", "complementary", "contentinfo", "search"}
 ARTICLE = {"article", "main"}
 #: What recurrence leaves inside an article.
@@ -53,16 +53,35 @@ TEXT = PROSE | {"ul", "ol", "dl", "figure"}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Za-z]+")
+#: Parts of the text itself: an id here is a link target made from a title.
+TITLED = PROSE | {"section", "article", "main", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "marked", "items", "parent")
+    __slots__ = ("tag", "marked", "items", "parent", "inside")
 
     def __init__(self, tag: str, marked: bool, parent: Node | None):
         self.tag, self.marked, self.parent = tag, marked, parent
+        self.inside = tag in ARTICLE or (parent is not None and parent.inside)
         self.items: list[Node | str] = []
 
 
+def marks(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role say that a container is no part of the article.
+
+    Inside an article only whole words of a class or role do; outside, also an id and the parts of a name such as
+    site-nav. Headings, paragraphs and the like are never marked, a section not by its id or a part of a name.
+    """
+    if tag in PROSE:
+        return False
+    for kind, *values in ATTRIBUTE.findall(attributes):
+        text = "".join(values).lower()
+        whole = inside or tag in TITLED
+        if not (whole and kind.lower() == "id") and not MARKS.isdisjoint(text.split() if whole else WORD.findall(text)):
+            return True
+    return False
+
+
 def parse(source: str) -> Node:
     """Block elements as a tree; inline elements leave only their text. Linear in the length."""
     root = node = Node("#root", False, None)
@@ -101,8 +120,7 @@ def parse(source: str) -> Node:
             node = node.parent
         marked = name in DROPPED
         if m[3] and not marked and name not in ("html", "body"):
-            words = {w for _, *values in ATTRIBUTE.findall(m[3]) for x in values for w in WORD.findall(x.lower())}
-            marked = bool(words & MARKS)
+            marked = marks(name, m[3], node.inside or name in ARTICLE)
         if name in ARTICLE:  # what holds an article, such as a box with-sidebar, is not itself the sidebar
             up = node
             while up is not None:
