@@ -66,6 +66,40 @@ def test_quality_ratio(spark):
     assert sum(r["kept"] for r in out if r["quality"] == 0) <= 0.1 * max(1, sum(r["quality"] == 0 for r in out))
 
 
+@pytest.mark.parametrize("junk_as_good, good_as_junk", [(0, 0), (1, 0), (4, 0), (0, 4), (4, 4)])
+def test_quality_with_wrong_labels(spark, junk_as_good, good_as_junk):
+    """A few labels are wrong; documents without a label are judged as if none were."""
+    rng = random.Random(5)
+    words, noise = [f"word{k}" for k in range(300)], [f"zx{k}q" for k in range(300)]
+    texts = [" ".join(rng.choices(words if k < 300 else noise, k=80) + rng.choices(noise if k < 300 else words, k=rng.randint(0, 25))) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    marks = [(k, int((k < 300) != (k % 150 < good_as_junk and k < 150 or 300 <= k < 300 + junk_as_good)), 0) for k in range(400) if k < 150 or 300 <= k < 350]
+    kept = {r["doc_id"] for r in quality.keep_good(docs, spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")).collect()}
+    assert len(kept & set(range(150, 300))) >= 148 and len(kept & set(range(350, 400))) <= 1
+
+
+def test_threshold():
+    assert quality.threshold(np.array([1.0, 2.0]), np.array([-3.0, -1.0]), 0) == 0
+    assert quality.threshold(np.array([1.0, 2.0]), np.array([]), 3) == 0
+    assert quality.threshold(np.array([]), np.array([1.0]), 0) == -1e9
+    assert quality.threshold(np.array([-5.0, *range(1, 100)]), np.array([-3.0, -1.0, 50.0]), 0) == 0
+    assert quality.threshold(np.arange(4.0), np.array([3.5, 4.0]), 0) == 3.75  # half of the bad labels must go
+    assert quality.threshold(np.arange(4.0), np.array([3.5, 4.0]), 2) == -1
+
+
+def test_held_out():
+    """As a count without the text gives it."""
+    rng = np.random.default_rng(2)
+    bucket, doc = rng.integers(0, 16, 60), np.repeat([0, 1, 2], 20)
+    target = np.bincount(bucket, minlength=16) + 3
+    got = quality.held_out(bucket, doc, np.array([True, False, True]), target)
+    for k in range(3):
+        own = bucket[doc == k]
+        less = target - np.bincount(own, minlength=16)
+        log = lambda t: np.log((t + 0.5) / (t.sum() + 8))
+        assert np.isclose(got[k], 0 if k == 1 else (log(less) - log(target))[own].mean())
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     out = registry.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").collect()
