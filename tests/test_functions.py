@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import codecs, cron
 from tidewheel.functions.hashing import crc_shard, fnv1a64
-from tidewheel.operators.temporal import advances
+from tidewheel.operators.temporal import advances, preview
 
 UTC = "timestamp_ntz"
 
@@ -39,6 +39,27 @@ def test_cron(spark, text, zone, after, expected):
     assert next_fires(spark, text, zone, after, len(expected), 1 if text.startswith("*/5") else 40) == expected
 
 
+@pytest.mark.parametrize(
+    "text, zone, most, expected",
+    [
+        ("0 0 9 1 * *", "UTC", 3, ["2024-02-01 09:00:00", "2024-03-01 09:00:00", "2024-04-01 09:00:00"]),
+        ("0 0 0 L * *", "UTC", 3, ["2024-02-29 00:00:00", "2024-03-31 00:00:00", "2024-04-30 00:00:00"]),
+        ("0 0 9 * * MON#2", "UTC", 2, ["2024-02-12 09:00:00", "2024-03-11 09:00:00"]),
+        ("0 0 9 * * MON", "Asia/Shanghai", 3, ["2024-02-05 01:00:00", "2024-02-12 01:00:00", "2024-02-19 01:00:00"]),
+        ("0 0 0 29 2 *", "UTC", 20, [f"{y}-02-29 00:00:00" for y in range(2024, 2108, 4) if y != 2100]),
+        ("0 0 0 29 2 MON", "UTC", 2, ["2044-02-29 00:00:00", "2072-02-29 00:00:00"]),
+        ("0 0 0 30 2 *", "UTC", 5, []),
+        ("0 30 2 8-14 3 SUN", "America/New_York", 5, []),
+        ("30 59 * * * *", "UTC", 2, ["2024-01-31 10:59:30", "2024-01-31 11:59:30"]),
+    ],
+)
+def test_preview_has_its_count(spark, text, zone, most, expected):
+    rows = [(1, "2024-01-31 10:30:00"), (2, "2024-01-31 10:30:00"), (3, None)]
+    jobs = spark.createDataFrame(rows, "job_id int, t string").withColumn("next_fire_time", F.col("t").cast(UTC))
+    got = sorted((r["job_id"], r["k"], str(r["fire_time"])) for r in preview(jobs, text, zone, most).collect())
+    assert got == [(j, k + 1, t) for j in (1, 2) for k, t in enumerate(expected)]
+
+
 @pytest.mark.parametrize("text", ["0 0 9 * *", "60 * * * * *", "0 0 0 32 * *", "0 5-1 * * * *", "x * * * * *"])
 def test_cron_rejects(text):
     with pytest.raises(ValueError):

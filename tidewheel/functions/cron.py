@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Days after which dates and weekdays of the calendar repeat.
+CYCLE = 146_097
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 DAYS = "SUN MON TUE WED THU FRI SAT".split()
 
@@ -107,7 +109,8 @@ def fires(rows: DataFrame, cron: Cron, zone: str, after: str, days: int) -> Data
     """Adds fire_time and local_time: every fire of each row after its UTC time ``after``, within so many days."""
     start = F.date_trunc("DAY", F.col(after))
     quarters = rows.select("*", F.explode(F.sequence(start, start + F.expr(f"INTERVAL '{days + 1}' DAY"), F.expr("INTERVAL '1' DAY"))).alias("_day"))
-    quarters = quarters.select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("_q")).withColumn("_utc", F.expr("timestampadd(MINUTE, 15 * _q, _day)"))
+    near = [day_matches(cron, F.date_add(F.to_date("_day"), k)) for k in (-1, 0, 1)]  # the local dates of a day in UTC
+    quarters = quarters.where(near[0] | near[1] | near[2]).select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("_q")).withColumn("_utc", F.expr("timestampadd(MINUTE, 15 * _q, _day)"))
     local = quarters.withColumn("_local", F.from_utc_timestamp("_utc", zone).cast("timestamp_ntz"))
     match = F.hour("_local").isin(*cron.hours) & day_matches(cron, F.to_date("_local"))
     minute = F.explode(F.filter(F.lit([*cron.minutes]), lambda m: (m >= F.minute("_local")) & (m < F.minute("_local") + 15)))
@@ -116,3 +119,30 @@ def fires(rows: DataFrame, cron: Cron, zone: str, after: str, days: int) -> Data
     out = ticks.withColumn("fire_time", (F.col("_utc") + add).cast("timestamp_ntz")).withColumn("local_time", F.col("_local") + add)
     limit = F.col(after) + F.expr(f"INTERVAL '{days}' DAY")
     return out.where((F.col("fire_time") > F.col(after)) & (F.col("fire_time") <= limit)).drop("_day", "_q", "_utc", "_local", "_m", "_s")
+
+
+def next_fires(rows: DataFrame, cron: Cron, zone: str, after: str, most: int) -> DataFrame:
+    """Adds fire_time and local_time: at least the next ``most`` fires of each row after its UTC time ``after``, if it has so many.
+
+    Fires are worked out once for each day that ``after`` falls on: those of that day and ``most`` more. The horizon grows
+    until every day has them, or to three cycles of the calendar. That ends the search: a zone's rules are regular from its
+    last listed change on, within the first cycle, and a date that fires at all then does so 13 times a cycle (29 February on
+    one weekday), so that two cycles hold 20 fires. The fires are broadcast: their number is bounded by the days of ``after``, not by the rows.
+    """
+    if not 1 <= most <= 20:
+        raise ValueError("from 1 to 20 fires can be asked for")
+    spark = rows.sparkSession
+    days = rows.where(F.col(after).isNotNull()).select(F.date_trunc("DAY", F.col(after)).cast("timestamp_ntz").alias("_start")).distinct()
+    dates = spark.range(CYCLE).select(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    horizon, ends = 2, 2 if dates.where(day_matches(cron, F.col("day"))).isEmpty() else 3 * CYCLE
+    later = F.col("fire_time") > F.col("_start") + F.expr("INTERVAL '1' DAY")
+    while horizon < ends:
+        found = fires(days, cron, zone, "_start", horizon).where(later).groupBy("_start").count().where(F.col("count") >= most)
+        if days.join(found, "_start", "left_anti").isEmpty():
+            break
+        horizon = min(4 * horizon, ends)
+    rank = F.row_number().over(W.partitionBy("_start", later).orderBy("fire_time"))
+    # a fire at the start of the day itself is after no time of that day
+    of_day = fires(days, cron, zone, "_start", horizon).withColumn("_k", rank).where(~later | (F.col("_k") <= most)).drop("_k")
+    out = rows.withColumn("_start", F.date_trunc("DAY", F.col(after)).cast("timestamp_ntz")).join(F.broadcast(of_day), "_start")
+    return out.where(F.col("fire_time") > F.col(after)).drop("_start")

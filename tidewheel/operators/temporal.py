@@ -85,10 +85,10 @@ def cron_fires(jobs: DataFrame, text: str, zone: str, days: int) -> DataFrame:
 
 
 @query("t06_schedule_preview", "jobs", None, text="0 30 1,2 * * *", zone="America/New_York", most=5)
-def preview(jobs: DataFrame, text: str, zone: str, most: int, days: int = 10) -> DataFrame:
+def preview(jobs: DataFrame, text: str, zone: str, most: int) -> DataFrame:
     """The next fires of each job with their local time; the most is clamped to 1 to 20, as the feature has it."""
     most = max(1, min(20, most))
-    all_fires = cron.fires(jobs.select("job_id", "next_fire_time"), cron.parse(text), zone, "next_fire_time", days)
+    all_fires = cron.next_fires(jobs.select("job_id", "next_fire_time"), cron.parse(text), zone, "next_fire_time", most)
     rank = F.row_number().over(W.partitionBy("job_id").orderBy("fire_time"))
     return all_fires.withColumn("k", rank).where(F.col("k") <= most).select("job_id", "k", "fire_time", "local_time")
 
