@@ -3,8 +3,8 @@
 Ids of a shard are numbered by falling frequency; each bit of the number is a plane, and each
 plane orders its ids by the bits before, zeros first. Ranks over the planes give access
 to any token, the count of an id in a range, and the place of its k-th occurrence, from the file
-alone. Planes and directories are compressed one by one; a plane of rare bits takes
-next to nothing.
+alone. Planes are compressed one by one; a plane of rare bits takes next to nothing. Rank
+directories are not in the file: opening it inflates all planes, and the first rank counts them anew.
 
 Documents are sorted by doc_id over range partitions (ties by content, so that a hot doc_id does not
 fill one task), tokenised there, and cut into shards of bounded length. A shard is a row of a
