@@ -227,8 +227,8 @@ def test_pages_on_fixture(spark):
     rows = [(i, f"http://h.example/{i}", page.format(f"t{i}")) for i in range(6)] + [(7, None, None), (8, "http://x/1", ""), (9, "http://y/1", page.format("solo")), (9, "http://y/1", page.format("solo")), (None, "bad url", "<p>x")]
     pages = spark.createDataFrame([(*r, "e", "k") for r in rows], "page_id bigint, url string, html string, host string, own string")
     want = {i: f"t{i}\n\nOne & t{i}\n\ntwo three four t{i}" for i in range(6)} | {7: "", 8: "", None: "x"}
-    for limit in (html_text.BROADCAST_ROWS, -1):  # broadcast, and the join beyond it
-        got = html_text.extract(pages, broadcast_rows=limit).collect()
+    for limit in (html_text.BROADCAST_KEYS, -1):  # broadcast, and the join beyond it
+        got = html_text.extract(pages, broadcast_keys=limit).collect()
         assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
         found = {r["page_id"]: r["text"] for r in got}
         assert {k: found[k] for k in want} == want
@@ -243,14 +243,14 @@ def test_copies_of_a_page_are_no_template(spark):
 
 
 @pytest.mark.parametrize("article", [True, False])
-@pytest.mark.parametrize("limit", [html_text.BROADCAST_ROWS, -1])
+@pytest.mark.parametrize("limit", [html_text.BROADCAST_KEYS, -1])
 def test_near_copies_keep_their_text(spark, article, limit):
     """Five near copies among twenty pages share passages and lists; what half of the host's pages have goes."""
     shared = "<div><p>A passage of a notice.</p></div><ul><li>one</li><li>two</li></ul><p>Its end.</p>"
     box = "<article>{}</article>" if article else "{}"
     page = "<body><div>Home News</div><div>" + box + "</div><div>Contact</div></body>"
     rows = [(i, f"http://h/{i}", page.format(f"<h1>Copy {i}</h1>{shared}" if i < 5 else f"<p>Own text {i}</p>")) for i in range(20)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_rows=limit).collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_keys=limit).collect()}
     tail = "A passage of a notice.\n\none\n\ntwo\n\nIts end."
     assert got == {i: f"Copy {i}\n\n{tail}" if i < 5 else f"Own text {i}" for i in range(20)}
 
@@ -270,18 +270,18 @@ BOXES = ["<div class='share-price'>{}</div>", "<div id='social-history'>{}</div>
 
 @pytest.mark.parametrize("part", SLUGS + BOXES)
 def test_slugs_mark_no_text(part):
-    for tag in ("article", "main", "body")[: 2 if part in BOXES else 3]:
+    for tag in ("article", "main", "body"):
         source = f"<body><{tag}><h1>T</h1>{part.format('kept')}<div class='share'>gone</div><div class='box related'>gone</div></{tag}>"
-        assert html_text.main_text(source, set()) == "T\n\nkept"
-    assert html_text.main_text("<div id=site-nav>gone</div><div role=search>gone</div><p>kept", set()) == "kept"
+        assert html_text.main_text(source)[0] == "T\n\nkept"
+    assert html_text.main_text("<div id=site-nav>gone</div><div role=search>gone</div><p>kept")[0] == "kept"
 
 
 @pytest.mark.parametrize("start", ["<body><div>", "<div>", "<p>", "", "<b></b>", "<br>", "<svg></svg>", "<body><main>", "<noscript>n</noscript><link rel=x><p>"])
 def test_head_left_open(start):
     """Whatever cannot stand in a head ends it; what can stays out of the text."""
     source = f"<html><head><title>t</title><meta charset=utf-8><style>s</style>\n{start}Text <i>of</i> the page"
-    assert html_text.main_text(source, set()) == "Text of the page"
-    assert html_text.main_text("<head><title>t</title></head><body><p>Text", set()) == "Text"
+    assert html_text.main_text(source)[0] == "Text of the page"
+    assert html_text.main_text("<head><title>t</title></head><body><p>Text")[0] == "Text"
 
 
 def test_pages_without_head_end(spark):
@@ -290,6 +290,96 @@ def test_pages_without_head_end(spark):
     assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == {i: f"Text t{i}\n\nMore t{i}" for i in range(6)}
 
 
+MALFORMED = {
+    '<div class="a"">one</div><p>two': "one\n\ntwo",
+    "<p>one <a href=it's>two</a> three": "one two three",
+    '<div title="open><p>one</p><a href="x">two</a>': "one\n\ntwo",
+    "<p title='open>one</p><p>two": "one\n\ntwo",
+    '<p>one<img alt="a > b" src=x> two <b c="1"d="2">three</b>': "one two three",
+    "<p>1 < 2 <3 &lt;b&gt; </> </ x> end": "1 < 2 <3 <b> end",
+    "<p>one<!-- c --> two<!--> three<!-- open <p>four": "one two three\n\nfour",
+    "<body><title>open<p>one</p>": "open\n\none",
+    "<p>one<script>var t = '<p>';</script> two": "one\n\ntwo",
+    "<p>one</div></nav></p><p>two</b>": "one\n\ntwo",
+    "<article><p>a <math>b</math> <label>c</label></article>": "a b c",
+}
+
+
+@pytest.mark.parametrize("source", MALFORMED)
+def test_bad_tags_lose_no_more_than_themselves(source):
+    assert html_text.main_text(source)[0] == MALFORMED[source]
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a ", "<p title='x", "<!-- x >", "<title>", "</p>", "<div></nav>", "<li><div><blockquote></li>"])
+def test_long_pages_take_linear_time(part):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.main_text(part * n + "<p>end")
+        return time.perf_counter() - began
+
+    seconds(2000)
+    assert seconds(80_000) < 16 * max(seconds(20_000), 0.02)
+
+
+@pytest.mark.parametrize("box", ['<div id="comments">{}</div>', '<section class="post comments">{}</section>', '<div class="disqus"><div>{}</div></div>'])
+def test_comments_may_hold_articles(box):
+    source = "<body><div class=sidebar><article><h1>Story</h1>{}</article></div>{}</body>"
+    said = "<article class=comment><p>first!</article>"
+    assert html_text.main_text(source.format("", box.format(said)))[0] == "Story"
+    assert html_text.main_text(source.format(box.format(said), ""))[0] == "Story"
+
+
+def many_pages():
+    """Two hosts whose parts carry no telling tag or class: menus in five texts, an advert that never recurs, and near copies."""
+    page = "<body><div><span>Menu {m} of</span> {h}</div><div class=c><h1>T {k}</h1><p>Text {k}</p>{same}</div><table><tr><td>Imprint of {h}</table></body>"
+    same = "<div class=q><p>A passage that some pages share.</p></div>"
+    rows = [(k, f"https://{h}/{k}", page.format(m=k % 5, h=h, k=f"{h}{k}", same=same if k % 6 == 0 else "")) for h in ("a.example", "b.example") for k in range(30)]
+    return rows + [(100 + k, "https://c.example/x", page.format(m=0, h="c", k=k, same="")) for k in range(3)]
+
+
+def test_templates_are_counted_as_by_hand(spark):
+    rows = many_pages()
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {(r["site"], r["slot"], r["key"]): r["pages"] for r in html_text.counted(pages.withColumn("host", html_text.host_of(F.col("url")))).collect()}
+    bodies, hosts = {}, Counter()
+    for _, url, source in rows:
+        site = html_text.hash_of(url.split("/")[2])
+        body, own = html_text.page_keys(source, site)
+        for slot, key in [(0, site), *own]:
+            bodies.setdefault((site, slot, key), set()).add(body)
+    want = {k: len(v) for k, v in bodies.items() if len(v) >= 4}
+    assert got == want
+    site = {k[0]: n for k, n in want.items() if k[0] == k[2] and k[1] == 0}
+    for (s, slot, key), n in want.items():
+        hosts[s, slot] += n if slot else 0
+    brute = {k[2] for k, n in want.items() if k[2] != k[0] and (2 * n >= site[k[0]] if k[1] == 0 else 2 * hosts[k[:2]] >= site[k[0]])}
+    assert {r["key"] for r in html_text.templates(pages.withColumn("host", html_text.host_of(F.col("url")))).collect()} == brute
+    # read from the markup: each host has the imprint (alone and in its slot, as table, row and cell are one wrapper) and five menus in one slot
+    assert sum(k[1] == 0 for k in want if k[2] in brute) == 2 and len(brute) == 2 * (1 + 1 + 5)
+
+
+@pytest.mark.parametrize("limit", [html_text.BROADCAST_KEYS, -1])
+def test_templates_without_telling_names(spark, limit):
+    rows = many_pages()
+    out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), broadcast_keys=limit).collect()
+    want = Counter()
+    for k, url, _ in rows:
+        h = url.split("/")[2]
+        if h == "c.example":  # three pages show nothing
+            want[(k, f"Menu 0 of c\n\nT {k - 100}\n\nText {k - 100}\n\nImprint of c", 0)] += 1
+        else:
+            want[(k, f"T {h}{k}\n\nText {h}{k}" + ("\n\nA passage that some pages share." if k % 6 == 0 else ""), 2)] += 1
+    assert Counter((r["page_id"], r["text"], r["n_template"]) for r in out) == want
+
+
+def test_recurrence_finds_templates_in_testdata(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert html_text.templates(pages.withColumn("host", html_text.host_of(F.col("url")))).count() > 0
+    assert registry.QUERIES["op8_site_templates"](spark, "/root/testdata/sf0.01").agg(F.sum("n_template")).first()[0] > 0
+
+
 def test_pages_of_testdata(spark):
     import html
 
