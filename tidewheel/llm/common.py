@@ -14,12 +14,14 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch; together with CHUNK_CHARS it bounds a Python worker's memory.
 BATCH_ROWS = 1000
 CHUNK_CHARS = 800_000
+#: Rows of a table of known size that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,12 +48,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The scratch folders that are made inside the block."""
-    token = _made.set([])
+    """The scratch folders that are made inside the block, those of blocks inside it included."""
+    made: list[str] = []
+    token = _made.set(made)
     try:
-        yield _made.get()
+        yield made
     finally:
         _made.reset(token)
+        if (outer := _made.get()) is not None:
+            outer.extend(made)
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -69,11 +74,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Writes what ``make`` returns and deletes the scratch tables that it came from: no others, so that results of other calls stay."""
+    with recorded() as made:
+        out = materialize(make(), name)
+    drop(out.sparkSession, made[:-1])
+    return out
+
+
 def small_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
     """A DataFrame of a bounded number of driver rows, as a JVM-side literal."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")).alias("r")).select("r.*")
 
 
+def fits(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if its known number of rows allows; joined by Spark's own choice otherwise."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def buckets_of(n: Column) -> Column:
+    """How many parts to number n rows in: some for a few rows already, and 65536 rows a part at any size."""
+    return F.greatest(F.ceil(n / 65536), F.least(F.lit(64), F.ceil(n / 64))).cast("int")
+
+
+def numbered(rows: DataFrame, key: str, counts: DataFrame, keys: int, total: int) -> DataFrame:
+    """Adds idx, a gapless number from 0 among the rows of each key.
+
+    rows is a written table with ``place``, a number of its own for each row; counts has key and n, with ``keys`` rows, for ``total``
+    rows in all. A key's rows are dealt over parts by their place, so that neither a hot key nor equal rows meet in one task.
+    """
+    sized = counts.select(key, buckets_of(F.col("n")).alias("_of"))
+    dealt = rows.join(fits(sized, keys), key).withColumn("_part", F.pmod(F.xxhash64("place"), F.col("_of")).cast("int")).drop("_of")
+    sums = dealt.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    first = sums.select(key, "_part", (F.sum("_n").over(W.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    mine = F.row_number().over(W.partitionBy(key, "_part").orderBy("place"))
+    met = dealt.withColumn("_mine", mine).join(fits(first, 64 * keys + total // 65536), [key, "_part"])
+    return met.withColumn("idx", F.col("_before") + F.col("_mine") - 1).drop("_part", "_before", "_mine")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,11 +126,15 @@ def with_columns(docs: DataFrame, keep: list[str], more: str) -> StructType:
     return StructType([docs.schema[c] for c in keep] + StructType.fromDDL(more).fields)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch, for very long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with batches small enough for very long texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
