@@ -12,6 +12,9 @@ size of the corpus. The driver turns it into a plan of index ranges (so many doc
 of a length go to such a run of sequences), whose size is bounded by capacity and group
 count; it is broadcast, and Spark places documents by their rank within their length.
 
+Two shares of a sequence are tried as the bound of long lengths: just under a half, where a configuration can hold two
+long sizes, and a half, where it holds one and short documents fill the rest. The plan with fewer sequences is used.
+
 Defined cases: null and empty texts pack as the end id alone; repeated rows are separate
 documents; texts of any length are cut into whole pieces, the first the shorter one; an
 empty table gives an empty result; a null doc_id is kept; extra columns are ignored.
@@ -29,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .bpe import encoder
-from .common import chunks, map_arrow, materialize, out_batch, small_table, table
+from .common import chunks, fits, map_arrow, materialize, numbered, out_batch, small_table, table
 
-#: Groups of long lengths, the share of a sequence above which a length is long, and rank buckets of a length.
-GROUPS, LONG_SHARE, RANK_BUCKETS = 200, 1 / 4, 64
+#: Groups of long lengths, and the shares of a sequence above which a length is long.
+GROUPS, LONG_SHARES = 400, (0.45, 0.5)
+#: Columns that the linear program may generate, against endless degenerate steps; a plan that stops there is right, but may need more sequences.
+STEPS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -79,7 +84,7 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> t
     return float(worth @ counts), counts
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = 2000) -> list[tuple[int, np.ndarray]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, most: int = STEPS) -> list[tuple[int, np.ndarray]]:
     """Whole multiplicities of configurations, rounded down from the linear program's optimum."""
     k = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
@@ -152,7 +157,13 @@ class Plan:
         return free
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, long_share: float = LONG_SHARE) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, long_shares: tuple[float, ...] = LONG_SHARES) -> Plan:
+    """The plan with the fewest sequences; of equals, the one with more long lengths."""
+    plans = [_plan(histogram, capacity, groups, x) for x in long_shares]
+    return min(plans, key=lambda p: p.sequences)
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, long_share: float) -> Plan:
     plan = Plan(capacity)
     if full := histogram.get(capacity, 0):
         plan.sequences += full
@@ -211,27 +222,16 @@ def _place_rest(plan: Plan, counts: dict[int, int]) -> None:
                 free[room].append((first + runs, have - runs))
 
 
-def ranked(rows: DataFrame, key: str, ties: list[str], buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Adds idx, each row's gapless rank from 0 among the rows of its key.
-
-    A key's rows are dealt over hash buckets, so a hot key is no single task; the first rank
-    of each (key, bucket) is broadcast and has at most keys x buckets rows.
-    """
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
-    sums = dealt.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
-    first = sums.select(key, "bucket", (F.sum("n").over(W.partitionBy(key).orderBy("bucket")) - F.col("n")).alias("before"))
-    place = F.row_number().over(W.partitionBy(key, "bucket").orderBy(*[F.col(t).asc_nulls_first() for t in ties]))
-    return dealt.withColumn("place", place).join(F.broadcast(first), [key, "bucket"]).withColumn("idx", F.col("before") + F.col("place") - 1).drop("bucket", "place", "before")
-
-
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """Every piece with its sequence and its gapless offset there."""
     spark = docs.sparkSession
-    pieces = materialize(pieces_of(docs, tokenizer_path, capacity), "pieces")
-    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    pieces = materialize(pieces_of(docs, tokenizer_path, capacity).withColumn("place", F.monotonically_increasing_id()), "pieces")
+    counts = materialize(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counts.collect()}
     plan = make_plan(histogram, capacity)
     ranges = small_table(spark, plan.rows, "length bigint, i0 bigint, i1 bigint, first bigint, each bigint, skip bigint")
-    placed = ranked(pieces, "length", ["doc_id", "piece", "ids_crc32"]).join(F.broadcast(ranges), "length").where("idx >= i0 and idx < i1")
+    ranked = numbered(pieces, "length", counts, len(histogram), sum(histogram.values()))
+    placed = ranked.join(fits(ranges, len(plan.rows)), "length").where("idx >= i0 and idx < i1")
     placed = placed.withColumn("sequence_id", F.col("first") + F.expr("(idx - i0 + skip) div each"))
     before = W.partitionBy("sequence_id").orderBy(F.col("length").desc(), F.col("doc_id").asc_nulls_first(), "piece", "idx")
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.sum("length").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).alias("offset"))
