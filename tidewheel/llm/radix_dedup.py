@@ -7,16 +7,18 @@ leave; the rest go on at the next offset. Digits grow eightfold, so texts of n b
 O(log n) passes and each byte moves once. No digest decides equality.
 
 Groups are counted before the shuffle, so a huge group is one row there; rows find their
-group by a join whose skew Spark splits. Each pass is written to a scratch table.
+group by a join whose skew Spark splits. Each pass is written to a scratch table, with a place for each row; of the rows of a
+group that share its largest doc_id, the one at the least place stays, found by a partial aggregate.
 
-Defined cases: a null doc_id loses to any other, and stays null if all of the group are null; if rows
+Defined cases: null and empty texts are equal, and end in the first pass; a text of any length is read to its end, in as many passes
+as its digits need; a null doc_id loses to any other, and stays null if all of the group are null; if rows
 repeat a doc_id with equal text, keep_id is that id and exactly one of them is kept; an empty table
 gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, table, whole_row
 
@@ -28,14 +30,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
     """doc_id, text_sha256, keep_id and group_size of every row; keep_id is the group's largest doc_id.
 
-    With carry, ``row`` holds all columns of the input row, under names that cannot clash with these.
+    pass, gid and place name the row's last pass, its group there and itself. With carry, ``row`` holds all columns of the input row,
+    under names that cannot clash with these, and there is no text_sha256.
     """
-    own = ["row"] * carry
+    own = ["row", "doc_id"] if carry else ["doc_id", "text_sha256"]
     # rows that are carried hold their text already; others carry what is left of it
     text = lambda column: F.encode(F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER), "UTF-8")
     rest = [] if carry else ["rest"]
-    start = [whole_row(docs)] if carry else [text("text").alias("rest")]
-    rows = docs.select(*start, "doc_id", F.sha2(text("text"), 256).alias("text_sha256"), F.lit(0).cast("long").alias("gid"))
+    start = [whole_row(docs), "doc_id"] if carry else [text("text").alias("rest"), "doc_id", F.sha2(text("text"), 256).alias("text_sha256")]
+    rows = docs.select(*start, F.lit(0).cast("long").alias("gid"))
     done, width, offset = [], first_digit, 0
     while True:
         cut = rows.withColumn("digit", F.substring(text("row.text"), offset + 1, width) if carry else F.substring("rest", 1, width))
@@ -49,15 +52,14 @@ def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIG
         passed = met.select(
             *own,
             *later,
-            "doc_id",
-            "text_sha256",
             F.when(single, F.col("doc_id")).when(ended, F.col("top")).alias("keep_id"),
             F.when(single, F.lit(1).cast("long")).when(ended, F.col("n")).alias("group_size"),
             F.col("next").alias("gid"),
+            F.monotonically_increasing_id().alias("place"),
         )
         passed = materialize(passed, "radix-rows")
-        done.append(passed.where("group_size is not null").select(*own, "doc_id", "text_sha256", "keep_id", "group_size"))
-        rows = passed.where("group_size is null").select(*own, *rest, "doc_id", "text_sha256", "gid")
+        done.append(passed.where("group_size is not null").select(*own, "keep_id", "group_size", F.lit(len(done)).alias("pass"), "gid", "place"))
+        rows = passed.where("group_size is null").select(*own, *rest, "gid")
         if rows.isEmpty():
             break
         offset, width = offset + width, min(width * growth, WIDEST)
@@ -70,11 +72,12 @@ def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIG
 def exact_dedup(docs: DataFrame, carry: bool = False, **digits: int) -> DataFrame:
     """groups_of with kept: true for one row of each group, one with the largest doc_id."""
     found = groups_of(docs, carry, **digits)
-    # rows of a group that share its largest doc_id are told apart by counting them; others never get there
     rivals = found.where("group_size > 1 and doc_id <=> keep_id")
     others = found.where("group_size = 1 or not (doc_id <=> keep_id)").withColumn("kept", F.col("group_size") == 1)
-    first = F.row_number().over(W.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
-    return others.unionByName(rivals.withColumn("kept", first)).select(*["row"] * carry, "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    first = rivals.groupBy("pass", "gid").agg(F.min("place").alias("place")).select("pass", "place", F.lit(True).alias("kept"))
+    # rows meet by their place, not by their group, so that the rivals of a huge group are dealt evenly
+    decided = rivals.join(first, ["pass", "place"], "left").withColumn("kept", F.col("kept").isNotNull())
+    return others.unionByName(decided).drop("pass", "gid", "place")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op5_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over all documents."""
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = """
