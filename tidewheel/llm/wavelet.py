@@ -3,11 +3,11 @@
 Ids of a shard are numbered by falling frequency; each bit of the number is a plane, and each
 plane orders its ids by the bits before, zeros first. Ranks over the planes give access
 to any token, the count of an id in a range, and the place of its k-th occurrence, from the file
-alone. Planes are compressed one by one; a plane of rare bits takes next to nothing. Rank
-directories are not in the file: opening it inflates all planes, and the first rank counts them anew.
+alone. A plane is compressed in blocks, and the file has, for each block, where it lies and how many ones come before it. So opening a file
+inflates nothing, and one access inflates one block of each plane; a plane of rare bits takes next to nothing.
 
-Documents are sorted by doc_id over range partitions (ties by content, so that a hot doc_id does not
-fill one task), tokenised there, and cut into shards of bounded length. A shard is a row of a
+Documents are sorted by doc_id over range partitions (ties by content, then by place, so that neither a hot doc_id nor a repeated row
+fills one task), tokenised there, and cut into shards of bounded length. A shard is a row of a
 Parquet table whose ``payload`` is the file, because executors of a cluster share only stores that
 Spark writes. The place of a document is the tokens of the
 partitions before, of its partition's shards before, and its offset in the shard.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -30,85 +31,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .bpe import encoder, ranks_of_json
-from .common import chunks, map_arrow, out_batch, scratch, table
+from .common import chunks, fits, map_arrow, out_batch, scratch, table
 
-MAGIC = b"TWWM\x01"
-#: Bits between two entries of a rank directory.
-BLOCK = 512
+MAGIC = b"TWWM\x02"
+#: Bytes of a block of a plane; the rank directory has an entry for each.
+BLOCK = 1 << 14
 #: A shard is closed when it holds this many tokens.
 SHARD_TOKENS = 1 << 21
+#: Inflated blocks that a reader keeps.
+OPEN_BLOCKS = 64
 SHARD = "part int, seq int, n_docs bigint, n_tokens bigint, payload binary"
+#: The head: tokens, documents, distinct tokens, planes, blocks of a plane.
+HEAD = struct.Struct("<QQIII")
 
 
-def _pack(sections: list[bytes]) -> bytes:
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=1).compress
-    body = [press(s) for s in sections]
-    return MAGIC + struct.pack("<I", len(body)) + b"".join(struct.pack("<Q", len(b)) for b in body) + b"".join(body)
+def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
+    """The file of one shard: ids of its documents one after another.
 
+    After the head come the ones before each block of each plane, and the ends of all parts; then the parts: alphabet,
+    doc_ids, which of them are null, lengths, and the blocks, plane by plane.
+    """
+    import zstandard
 
-def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
-    """The file of one shard: ids of its documents one after another."""
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)].astype(np.uint32)
     number = np.zeros(len(counts), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
     number[alphabet] = np.arange(len(alphabet))
     now, bits = number[ids], max(1, (len(alphabet) - 1).bit_length())
-    planes = []
-    for k in range(bits - 1, -1, -1):
-        ones = (now & number.dtype.type(1 << k)) != 0
-        planes.append(np.packbits(ones, bitorder="little").tobytes())
-        now = np.concatenate((now[np.flatnonzero(~ones)], now[np.flatnonzero(ones)]))  # places are faster than masks
     null = np.array([d is None for d in doc_ids], bool)
-    head = struct.pack("<QQII", len(ids), len(doc_ids), len(alphabet), bits)
     docs = np.array([d or 0 for d in doc_ids], np.int64)
-    return _pack([head, alphabet.tobytes(), docs.tobytes(), null.tobytes(), lengths.astype(np.int64).tobytes(), *planes])
+    parts = [alphabet.tobytes(), docs.tobytes(), null.tobytes(), lengths.astype(np.int64).tobytes()]
+    blocks = -(-len(ids) // (8 * BLOCK))
+    ranks = np.zeros((bits, blocks + 1), np.int64)
+    for p, k in enumerate(range(bits - 1, -1, -1)):
+        ones = (now & number.dtype.type(1 << k)) != 0
+        plane = np.packbits(ones, bitorder="little")
+        if blocks:
+            ranks[p, 1:] = np.cumsum(np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK), dtype=np.int64))
+        parts += [plane[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in range(blocks)]
+        now = np.concatenate((now[np.flatnonzero(~ones)], now[np.flatnonzero(ones)]))  # places are faster than masks
+    press = zstandard.ZstdCompressor(level=1).compress
+    body = [press(x) for x in parts]
+    return MAGIC + HEAD.pack(len(ids), len(doc_ids), len(alphabet), bits, blocks) + ranks.tobytes() + np.cumsum([len(x) for x in body]).astype(np.int64).tobytes() + b"".join(body)
 
 
 class WaveletMatrix:
-    """Reads one file; positions count from the shard's first token."""
+    """Reads one file; positions count from the shard's first token. Parts are inflated when they are needed."""
 
     def __init__(self, data: bytes):
         import zstandard
 
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        n = struct.unpack_from("<I", data, len(MAGIC))[0]
-        at, spread = len(MAGIC) + 4, zstandard.ZstdDecompressor().decompress
-        sizes = struct.unpack_from(f"<{n}Q", data, at)
-        ends = np.cumsum([at + 8 * n, *sizes])
-        parts = [spread(data[a:b]) for a, b in zip(ends, ends[1:])]
-        self.n, self.n_docs, self.n_alphabet, self.bits = struct.unpack("<QQII", parts[0])
-        self.alphabet = np.frombuffer(parts[1], np.uint32)
-        null = np.frombuffer(parts[3], bool)
-        self.doc_ids = [None if x else d for d, x in zip(np.frombuffer(parts[2], np.int64).tolist(), null.tolist())]
-        self.lengths = np.frombuffer(parts[4], np.int64)
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[5:]]
-        self._ranks: list[np.ndarray] | None = None
-
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones before each block of each plane."""
-        if self._ranks is None:
-            step = BLOCK // 8
-            sums = [np.add.reduceat(np.bitwise_count(p).astype(np.int64), np.arange(0, len(p), step)) if len(p) else np.zeros(0, np.int64) for p in self.planes]
-            self._ranks = [np.concatenate(([0], np.cumsum(s))) for s in sums]
-        return self._ranks
+        self.data, self._spread = data, zstandard.ZstdDecompressor().decompress
+        self.n, self.n_docs, self.n_alphabet, self.bits, self.blocks = HEAD.unpack_from(data, len(MAGIC))
+        at = len(MAGIC) + HEAD.size
+        #: Ones before each block of each plane; the last entry has all.
+        self.ranks = np.frombuffer(data, "<i8", self.bits * (self.blocks + 1), at).reshape(self.bits, -1)
+        at += self.ranks.nbytes
+        self._ends = np.frombuffer(data, "<i8", 4 + self.bits * self.blocks, at)
+        self._base = at + self._ends.nbytes
+        self._open: dict[int, np.ndarray] = {}
+
+    def _part(self, k: int) -> bytes:
+        first = int(self._ends[k - 1]) if k else 0
+        return self._spread(self.data[self._base + first : self._base + int(self._ends[k])])
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        k = 4 + plane * self.blocks + block
+        if k not in self._open:
+            if len(self._open) >= OPEN_BLOCKS:
+                del self._open[next(iter(self._open))]
+            self._open[k] = np.frombuffer(self._part(k), np.uint8)
+        return self._open[k]
+
+    @cached_property
+    def alphabet(self) -> np.ndarray:
+        return np.frombuffer(self._part(0), np.uint32)
+
+    @cached_property
+    def doc_ids(self) -> list[int | None]:
+        null = np.frombuffer(self._part(2), bool).tolist()
+        return [None if x else d for d, x in zip(np.frombuffer(self._part(1), np.int64).tolist(), null)]
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self._part(3), np.int64)
 
     def _rank1(self, plane: int, i: int) -> int:
-        block = i // BLOCK
-        part = np.unpackbits(self.planes[plane][block * BLOCK // 8 : -(-i // 8)], bitorder="little")
-        return int(self.ranks[plane][block]) + int(part[: i - block * BLOCK].sum())
+        """Ones among the first i bits of a plane."""
+        block, within = divmod(i, 8 * BLOCK)
+        found = int(self.ranks[plane, block])
+        if within:
+            data = self._block(plane, block)
+            found += int(np.bitwise_count(data[: within >> 3]).sum(dtype=np.int64))
+            found += (int(data[within >> 3]) & ((1 << (within & 7)) - 1)).bit_count() if within & 7 else 0
+        return found
 
     def _zeros(self, plane: int) -> int:
-        return self.n - int(self.ranks[plane][-1])
+        return self.n - int(self.ranks[plane, -1])
 
     def access(self, i: int) -> int:
         """The token at a position."""
         value = 0
         for p in range(self.bits):
-            bit = int(self.planes[p][i >> 3] >> (i & 7) & 1)
+            block, within = divmod(i, 8 * BLOCK)
+            bit = int(self._block(p, block)[within >> 3] >> (within & 7) & 1)
             ones = self._rank1(p, i)
             i = self._zeros(p) + ones if bit else i - ones
             value = value << 1 | bit
@@ -141,18 +169,19 @@ class WaveletMatrix:
 
     def _select_bit(self, plane: int, bit: int, k: int) -> int:
         ones = self.ranks[plane]
-        before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
+        before = ones if bit else np.minimum(np.arange(len(ones)) * 8 * BLOCK, self.n) - ones
         block = int(np.searchsorted(before, k, side="right")) - 1
-        part = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
+        part = np.unpackbits(self._block(plane, block), bitorder="little")
+        return 8 * block * BLOCK + int(np.flatnonzero(part == bit)[k - int(before[block])])
 
     def decode(self) -> np.ndarray:
         """All tokens in order: planes are undone from the last to the first."""
         kind = np.uint16 if self.n_alphabet <= 1 << 16 else np.uint32
         now = np.zeros(self.n, kind)
-        for k, p in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
-            zeros = self.n - int(np.count_nonzero(ones))
+        for k, p in enumerate(range(self.bits - 1, -1, -1)):
+            data = b"".join(self._part(4 + p * self.blocks + b) for b in range(self.blocks))
+            ones = np.unpackbits(np.frombuffer(data, np.uint8), count=self.n, bitorder="little").view(bool)
+            zeros = self._zeros(p)
             before = np.empty_like(now)
             before[np.flatnonzero(~ones)] = now[:zeros]
             before[np.flatnonzero(ones)] = now[zeros:] | kind(1 << k)
@@ -190,13 +219,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_tokens
         if held:
             yield close()
 
-    order = ["doc_id", "tie"]
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["doc_id", "tie", "place"]
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("place")).repartitionByRange(*order).sortWithinPartitions(*order)
     map_arrow(dealt.select("doc_id", "text"), run, SHARD).write.option("compression", "none").parquet(folder)
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files in the folder.
+def starts_of(spark: SparkSession, folder: str) -> DataFrame:
+    """part, seq and first: the tokens before each shard.
 
     What the driver gathers is one number for each range partition of the writer.
     """
@@ -207,7 +236,26 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         base.append((part, at))
         at += totals[part]
     starts = shards.select("part", "seq", "n_tokens").withColumn("inside", F.sum("n_tokens").over(W.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
-    starts = starts.join(F.broadcast(spark.createDataFrame(base, "part int, base bigint")), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("first"))
+    return starts.join(fits(spark.createDataFrame(base, "part int, base bigint"), len(base)), "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("first"))
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """at: every place of a token over all shards, looked up in the files without decoding them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, seq, payload in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "payload"))):
+                matrix = WaveletMatrix(payload)
+                found = np.array([matrix.select(token, k) for k in range(matrix.count(token))], np.int64)
+                yield out_batch({"part": [part] * len(found), "seq": [seq] * len(found), "inside": found}, {"part": pa.int32(), "seq": pa.int32()})
+
+    rows = map_arrow(spark.read.schema(SHARD).parquet(folder).select("part", "seq", "payload"), run, "part int, seq int, inside bigint")
+    return rows.join(starts_of(spark, folder), ["part", "seq"]).select((F.col("first") + F.col("inside")).alias("at"))
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files in the folder."""
+    shards = spark.read.schema(SHARD).parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +268,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 yield out_batch({"part": [part] * n, "seq": [seq] * n, "doc_id": matrix.doc_ids, "inside": ends - matrix.lengths, "n_tokens": matrix.lengths, "ids_crc32": crcs}, {"part": pa.int32(), "seq": pa.int32(), "doc_id": pa.int64(), "ids_crc32": pa.int64()})
 
     rows = map_arrow(shards.select("part", "seq", "payload"), run, "part int, seq int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(starts_of(spark, folder), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
