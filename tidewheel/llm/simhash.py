@@ -1,36 +1,36 @@
 """SimHash near-duplicates: pigeonhole blocks, verified Hamming distance, connected components.
 
 A fingerprint has a bit for each of the 64 bit positions that are set in over half of the
-document's shingle hashes. Two fingerprints that differ in at most d bits agree on at least
-m - d of m blocks, so each fingerprint is keyed by every choice of m - d blocks and close pairs
-share a key. m follows from the number of distinct fingerprints, so that a key is long enough
-for small buckets at any size; every m finds the same links.
+document's shingle hashes. The bits are split into d + 1 blocks, so that two fingerprints that differ in at most d bits agree on a
+block, and meet in its bucket. A crowded bucket is split in the same way by d + 1 blocks of the bits that it does not fix, and so on,
+a few times; only its own fingerprints get more keys, and every split finds the same links.
 
-Equal fingerprints are one node. A bucket is compared in tiles of bounded size, pair of
+Equal fingerprints are one node. A bucket that is still crowded is compared in tiles of bounded size, pair of
 tiles by pair of tiles, each in its own row; a tile pair reports a spanning forest of
 its links, never all pairs. So no bucket is capped and none is held by one task. Components come
 from alternating star contraction with a table written in each round.
 
 Defined cases: null texts and texts without words have fingerprint zero and link like any
-other; repeated rows share a node; an empty table gives an empty result; a null
-doc_id gets the smallest non-null id of its component, or null; extra columns are ignored.
+other; a bit set in exactly half of the hashes is 0; a text of any length is hashed whole, its shingles in parts of bounded size;
+repeated rows share a node; an empty table gives an empty result; a null
+doc_id gets the smallest non-null id of its component, or null; of rows that share the smallest id of a component the filter keeps one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import chunks, map_arrow, materialize, out_batch, table, whole_row, with_columns
+from .common import map_arrow, materialize, out_batch, small_batches, table, whole_row
 
 SEED, BITS = 42, 64
 #: Fingerprints in a tile; a pair of tiles is compared at once.
 TILE = 1024
+#: Fingerprints of a bucket beyond which it is split, and how often at most.
+CROWD, SPLITS = 1024, 2
 
 
 def fingerprint(text: str, words_each: int) -> int:
@@ -54,31 +54,25 @@ def fingerprint(text: str, words_each: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = 4, carry: bool = False) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long; with carry also ``row``, all columns of the input row."""
-    given = docs.select(*[whole_row(docs)] * carry, "doc_id", "text")
+    """doc_id and fp, the fingerprint as a signed long; with carry also ``row``, all columns of the input row, which stay in the JVM."""
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in chunks(batch):
-                fps = np.array([fingerprint(t, words_each) for t in texts], dtype=np.uint64).view(np.int64)
-                yield out_batch(({"row": part.column("row")} if carry else {}) | {"doc_id": part.column("doc_id"), "fp": pa.array(fps)}, {})
+    @F.arrow_udf("long")
+    def fp(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, words_each) if t else 0 for t in (x.as_py() for x in texts)], dtype=np.uint64).view(np.int64))
 
-    return map_arrow(given, run, with_columns(given, ["row"] * carry, "doc_id bigint, fp bigint"))
+    return docs.select(*[whole_row(docs)] * carry, "doc_id", fp(F.col("text")).alias("fp"))
 
 
-def block_masks(distance: int, count: int) -> list[int]:
-    """Bit masks of the keys: every choice of m - distance of m blocks.
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
-    m is the least for which the shortest key has two bits more than the number of
-    fingerprints needs, or leaves 12 bits free.
-    """
-    for m in range(distance + 1, 13):
-        edges = [round(i * BITS / m) for i in range(m + 1)]
-        blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-        masks = [sum(c) for c in combinations(blocks, m - distance)]
-        if min(x.bit_count() for x in masks) >= math.log2(max(count, 2)) + 2:
-            break
-    return masks
+
+def block_masks(distance: int, fixed: int = 0) -> list[int]:
+    """The masks of d + 1 blocks of the bits that are not fixed, each with the fixed bits."""
+    free = [k for k in range(BITS) if not fixed >> k & 1]
+    edges = [round(i * len(free) / (distance + 1)) for i in range(distance + 2)]
+    return [fixed | sum(1 << k for k in free[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 def forest(tile: np.ndarray, other: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
@@ -95,20 +89,36 @@ def forest(tile: np.ndarray, other: np.ndarray | None, distance: int) -> list[tu
     return links
 
 
-def links_of(fps: DataFrame, distance: int = 4) -> DataFrame:
+def buckets(fps: DataFrame, distance: int, crowd: int, splits: int) -> DataFrame:
+    """mask, bits, n and fp: the fingerprints of every bucket of more than one, buckets beyond ``crowd`` split as often as allowed."""
+    done, masks, members = [], [0], fps.select("fp", F.lit(0).cast("long").alias("mask"))
+    for level in range(splits + 1):
+        parts = {m: block_masks(distance, m) for m in masks}
+        masks = [x for m in masks for x in parts[m]]
+        wide = F.create_map(*[x for m, p in parts.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(y)) for y in p]))])
+        keyed = members.select("fp", F.explode(wide[F.col("mask")]).alias("mask")).withColumn("bits", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = materialize(keyed.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowds")
+        # written, so that Spark can split a crowded bucket in the joins that follow
+        met = materialize(keyed.join(sizes, ["mask", "bits"]), "met")
+        done.append(met if level == splits else met.where(F.col("n") <= crowd))
+        members = met.where(F.col("n") > crowd).select("fp", "mask")
+        if level == splits or members.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def links_of(fps: DataFrame, distance: int = 4, crowd: int = CROWD, splits: int = SPLITS) -> DataFrame:
     """a, b: links between distinct fingerprints that give the same components as all links.
 
     fps has one row for each distinct fingerprint (fp)."""
-    masks = [m - (1 << BITS) if m >> (BITS - 1) else m for m in block_masks(distance, fps.count())]
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(keys).alias("key")).select("fp", "key.block", "key.bits")
-    crowd = materialize(keyed.groupBy("block", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowds")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    met = buckets(fps, distance, crowd, splits).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    met = met.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     pairs = F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, mine) as i, greatest(t, mine) as j))")
-    met = keyed.join(crowd, ["block", "bits"]).withColumn("tiles", tiles).withColumn("mine", mine)
-    rows = met.select("block", "bits", "fp", "mine", F.explode(pairs).alias("p")).select("block", "bits", "fp", "mine", "p.i", "p.j")
-    packed = rows.groupBy("block", "bits", "i", "j").agg(F.collect_list(F.when(F.col("mine") == F.col("i"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("mine") != F.col("i"), F.col("fp"))).alias("right"))
+    rows = met.select("mask", "bits", "fp", "mine", F.explode(pairs).alias("p")).select("mask", "bits", "fp", "mine", "p.i", "p.j")
+    packed = rows.groupBy("mask", "bits", "i", "j").agg(F.collect_list(F.when(F.col("mine") == F.col("i"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("mine") != F.col("i"), F.col("fp"))).alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
