@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tidewheel.llm import bpe, packing, piece_bpe, radix_dedup, sharding, token_counts, wavelet
 from tidewheel.llm.common import scratch
@@ -50,6 +51,56 @@ def test_sharding(spark, name):
         assert {r["virtual_slot"] for r in grown} == {r["virtual_slot"] for r in out}
 
 
+def copies(spark, n=100_000):
+    """One row many times, another without an id, and some others."""
+    hot = spark.range(n).selectExpr("7L AS doc_id", "'the same row again and again' AS text")
+    null = spark.range(n // 10).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'THE same row again and again' AS text")
+    return hot.unionByName(null).unionByName(spark.range(2000).selectExpr("id + 100 AS doc_id", "concat('text ', id, repeat(' x', int(id % 300))) AS text"))
+
+
+def test_copies_of_a_row_spread_over_slots(spark):
+    docs, folder = copies(spark), scratch(spark, "map")
+    out = sharding.shard(docs, 8, folder).toPandas()
+    size = out.groupby("shard")["size"].sum()
+    assert len(out) == docs.count() and len(size) == 8 and size.max() - size.min() < 0.01 * size.mean()
+    assert out[out.doc_id == 7].groupby("virtual_slot").size().max() < 100
+    assert all((g == range(len(g))).all() for _, g in out.sort_values("slot").groupby("shard").slot)
+    again = sharding.shard(docs.repartition(5), 8, scratch(spark, "map")).toPandas()
+    assert Counter(zip(out.doc_id.fillna(-1), out.virtual_slot)) == Counter(zip(again.doc_id.fillna(-1), again.virtual_slot))
+
+
+def test_map_versions(spark):
+    docs, folder = fixtures.hard(spark), scratch(spark, "map")
+    sharding.shard(docs, 3, folder)
+    first = sharding.load_map(spark, folder, 1)
+    assert set(first) == set(range(sharding.SLOTS)) and max(Counter(first.values()).values()) < 0.4 * sharding.SLOTS
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.shard(docs, 4, folder)
+    assert sharding.load_map(spark, folder, 1) == first
+
+
+def test_copies_of_a_row_are_one_group(spark):
+    docs = copies(spark)
+    out = radix_dedup.exact_dedup(docs).groupBy("keep_id", "group_size").agg(F.count(F.lit(1)).alias("n"), F.count_if("kept").alias("kept")).collect()
+    found = {(r["keep_id"], r["group_size"]): (r["n"], r["kept"]) for r in out}
+    assert found.pop((7, 110_000)) == (110_000, 1)
+    assert len(found) == 2000 and set(found.values()) == {(1, 1)}
+
+
+def test_copies_of_a_row_are_packed_and_stored(spark):
+    docs = copies(spark)
+    packed = packing.pack(docs, JSON, 256).toPandas()
+    assert (packed.piece == 0).sum() == docs.count() and (packed.groupby("sequence_id")["length"].sum() <= 256).all()
+    hot = packed[packed.doc_id == 7]["length"].iloc[0]  # most are of one length, whose multiples leave a gap
+    assert packed.sequence_id.nunique() <= packed["length"].sum() / (256 // hot * hot) + 1
+    folder = scratch(spark, "wavelet")
+    wavelet.write_shards(docs, folder, JSON, 20_000)
+    out = wavelet.read_shards(spark, folder).toPandas().sort_values("start")
+    assert len(out) == docs.count() and (out.start.to_numpy() == np.cumsum(out.n_tokens) - out.n_tokens).all()
+    parts = spark.read.schema(wavelet.SHARD).parquet(folder).groupBy("part").agg(F.sum("n_docs").alias("n")).toPandas().n
+    assert parts.max() < 0.5 * parts.sum()
+
+
 def test_map_edits():
     rng = np.random.default_rng(0)
     totals = {s: (int(b), 1) for s, b in enumerate(rng.integers(1, 1000, 4096))}
@@ -113,13 +164,21 @@ def test_fast_encoding_texts(library, text):
 
 def test_fast_encoding_every_character(library):
     data = open(JSON, "rb").read()
-    points = [c for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF]
+    points = [c for c in [*range(0x30000), *range(0x30000, 0x110000, 61)] if not 0xD800 <= c <= 0xDFFF]
     for at in range(0, len(points), 3000):
         texts = [f"a{chr(c)}1 {chr(c)}{chr(c)} b" for c in points[at : at + 3000]]
         for text, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
             assert bpe.encode_ids(data, text).tolist() == e.ids, text
 
 
+def test_fast_encoding_whole_vocabulary(library):
+    data = open(JSON, "rb").read()
+    pieces = [p.decode("utf-8", "ignore") for p in bpe.ranks_of_json(data)[0]]
+    texts = [f"{p}{q} {p}" for p, q in zip(pieces, pieces[1:] + pieces[:1])] + pieces
+    for text, e in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert bpe.encode_ids(data, text).tolist() == e.ids, text
+
+
 @pytest.mark.parametrize("digit", [1, 64])
 @pytest.mark.parametrize("name", TABLES)
 def test_radix_dedup(spark, name, digit):
@@ -173,6 +232,15 @@ def test_plans(histogram, groups):
     assert placed == Counter(histogram) and (not len(load) or load.min() > 0 and load.max() <= 64)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_needs_the_fewest(seed):
+    """With short documents to fill gaps, no more sequences than the volume needs."""
+    rng = np.random.default_rng(seed)
+    sizes, counts = np.unique(np.clip(rng.lognormal(5 + seed / 5, 1.2, 12000).astype(int), 1, 2048), return_counts=True)
+    plan = packing.make_plan(dict(zip(sizes.tolist(), counts.tolist())), 2048)
+    assert plan.sequences <= -(-int((sizes * counts).sum()) // 2048) + 1
+
+
 def test_plan_is_close():
     rng = np.random.default_rng(1)
     sizes, counts = np.unique(np.clip(rng.lognormal(6.2, 1, 60000).astype(int), 1, 2048), return_counts=True)
@@ -193,9 +261,14 @@ def test_wavelet(spark, library, name):
         at += r["n_tokens"]
     keys = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in out]
     assert keys == sorted(keys)
+    every = [t for _, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0)) for t in [*ids_of(library, text), 0]]
+    for token in (0, 262, 50_000_000):
+        assert wavelet.occurrences(spark, folder, token).count() == every.count(token)
+    ends = {r["start"] + r["n_tokens"] - 1 for r in out}
+    assert ends <= {r["at"] for r in wavelet.occurrences(spark, folder, 0).collect()}
 
 
-@pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (5, 3), (1000, 7), (5000, 300), (513, 2), (1024, 5)])
+@pytest.mark.parametrize("n, kinds", [(0, 1), (1, 1), (5, 3), (1000, 7), (5000, 300), (513, 2), (1024, 5), (8 * wavelet.BLOCK, 3), (300_001, 900)])
 def test_rank_and_select(n, kinds):
     rng = np.random.default_rng(n)
     ids = (rng.zipf(1.3, n) % kinds).astype(np.uint16)
@@ -209,3 +282,6 @@ def test_rank_and_select(n, kinds):
         places = np.flatnonzero(ids == token)
         assert [matrix.select(token, k) for k in range(0, len(places), 97)] == places[::97].tolist()
         assert matrix.select(token, len(places)) == -1
+    if n > 2:  # one access inflates one block of each plane at most
+        fresh = wavelet.WaveletMatrix(wavelet.build(ids, [1], np.array([n])))
+        assert fresh.access(n - 2) == ids[n - 2] and len(fresh._open) <= 2 * fresh.bits
