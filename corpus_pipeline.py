@@ -2,61 +2,40 @@
 
 Each stage gets what the stage before it kept, written as Parquet and read again. A quality or
 language verdict drops documents; of equal or near-equal documents one stays; the last stage packs
-what is left. A stage's result must be written before the next stage is called, as run() does: the
-call deletes the intermediate tables of the stage before. Nulls, empty tables and extra columns follow the operators' docstrings; extra columns
-are carried to the last stage.
+what is left. The two stages that drop duplicates write their result and delete the tables that it came from, so a result
+depends on no other call: any number of runs and stages may be read in any order. run() also deletes each stage's output once the
+next stage has been written; what its result reads from stays in the scratch folder. Nulls, empty tables and extra columns follow the
+operators' docstrings; extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewheel.llm import language, packing, quality, radix_dedup, simhash
-from tidewheel.llm.common import drop, materialize, recorded, table
+from tidewheel.llm.common import drop, materialize, recorded, settled, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_left: list[str] = []
 
 
-def tidy(stage: Stage) -> Stage:
-    """Deletes what the last stage left in the scratch folder before this one makes its own."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop(spark, _left)
-        _left.clear()
-        with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _left.extend(made)
-        return out
-
-    return run_stage
-
-
-@tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-@tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_known(docs)
 
 
-@tidy
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return radix_dedup.keep_one(docs)
+    return settled(lambda: radix_dedup.keep_one(docs), "exact")
 
 
-@tidy
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return settled(lambda: simhash.keep_one(docs), "near")
 
 
-@tidy
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with recorded() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(spark, before + made[:-1])
+        before = made[-1:]
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing has written the pieces of all documents
+    drop(spark, before)
+    return out
