@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.functions import codecs, cron
 from tidewheel.functions.hashing import crc_shard, fnv1a64
-from tidewheel.operators.temporal import advances, preview
+from tidewheel.operators.temporal import advances, next_after, own_cron_fires, preview
 
 UTC = "timestamp_ntz"
 
@@ -55,11 +55,55 @@ def test_cron(spark, text, zone, after, expected):
 )
 def test_preview_has_its_count(spark, text, zone, most, expected):
     rows = [(1, "2024-01-31 10:30:00"), (2, "2024-01-31 10:30:00"), (3, None)]
-    jobs = spark.createDataFrame(rows, "job_id int, t string").withColumn("next_fire_time", F.col("t").cast(UTC))
-    got = sorted((r["job_id"], r["k"], str(r["fire_time"])) for r in preview(jobs, text, zone, most).collect())
+    jobs = spark.createDataFrame(rows, "job_id int, t string").select("job_id", F.col("t").cast(UTC).alias("next_fire_time"), F.lit(text).alias("schedule_value"), F.lit(zone).alias("zone"))
+    got = sorted((r["job_id"], r["k"], str(r["fire_time"])) for r in preview(jobs, most).collect())
     assert got == [(j, k + 1, t) for j in (1, 2) for k, t in enumerate(expected)]
 
 
+def model_fires(text, zone, after, until):
+    """Every fire in (after, until], second by second of the local clock of each instant, minute steps for speed."""
+    from zoneinfo import ZoneInfo
+
+    c, out, at = cron.parse(text), [], after.replace(second=0)
+    while at <= until:
+        local = at.replace(tzinfo=dt.timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
+        if local.minute in c.minutes and local.hour in c.hours and c.matching()[(local.date() - dt.date(2000, 1, 1)).days]:
+            out += [at + dt.timedelta(seconds=s) for s in c.seconds if after < at + dt.timedelta(seconds=s) <= until]
+        at += dt.timedelta(minutes=1)
+    return out
+
+
+ROWS = [
+    ("0 */20 9-10 * * MON-FRI", "America/New_York", "2024-03-08 00:00:10"),
+    ("0 30 1,2 * * *", "America/New_York", "2024-03-09 06:29:59"),
+    ("15,45 10 */6 1-12 11 *", "Europe/Berlin", "2024-10-31 12:00:00"),
+    ("0 0 0 L-2 * *", "Asia/Kolkata", "2024-02-20 18:30:00"),
+    ("0 0 12 15W * *", "UTC", "2024-06-01 00:00:00"),
+    ("0 5 0 ? * TUE#3", "Australia/Lord_Howe", "2024-04-01 00:00:00"),
+    ("not a cron text", "UTC", "2024-04-01 00:00:00"),
+    ("0 0 0 30 2 *", "UTC", "2024-04-01 00:00:00"),
+]
+
+
+def test_own_schedules_against_a_model(spark):
+    """A text and a zone in each row, next to a minute-by-minute model."""
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(ROWS)], "job_id int, schedule_value string, zone string, t string").withColumn("next_fire_time", F.col("t").cast(UTC))
+    want = {}
+    for k, (text, zone, after) in enumerate(ROWS):
+        begin = dt.datetime.fromisoformat(after)
+        want[k] = model_fires(text, zone, begin, begin + dt.timedelta(days=21)) if text[0].isdigit() else []
+    got = {k: [] for k in want}
+    for r in own_cron_fires(rows, 21).collect():
+        got[r["job_id"]].append(r["fire_time"])
+    assert {k: sorted(v) for k, v in got.items()} == want
+    first = {r["job_id"]: r["following"] for r in next_after(rows).collect()}
+    assert all(first[k] == v[0] for k, v in want.items() if v) and first[6] is None and first[7] is None and len(first) == len(ROWS)
+    shown = {k: [] for k in want}
+    for r in preview(rows, 3).collect():
+        shown[r["job_id"]].append(r["fire_time"])
+    assert all(sorted(shown[k])[: len(v[:3])] == v[:3] for k, v in want.items()) and [len(shown[k]) for k in shown] == [3] * 6 + [0, 0]
+
+
 @pytest.mark.parametrize("text", ["0 0 9 * *", "60 * * * * *", "0 0 0 32 * *", "0 5-1 * * * *", "x * * * * *"])
 def test_cron_rejects(text):
     with pytest.raises(ValueError):

@@ -71,24 +71,33 @@ def next_cursor(jobs: DataFrame) -> DataFrame:
     return advances(jobs).select("job_id", "next_cursor")
 
 
-@query("t03_cron_fires_utc", "jobs", "SELECT job_id, d + m * INTERVAL '1' MINUTE AS fire_time FROM (SELECT job_id, next_fire_time FROM jobs WHERE job_id < 20), range({now} - INTERVAL '1' DAY, {now} + INTERVAL '5' DAY, INTERVAL '1' DAY) r(d), range(0, 1440, 20) s(m) WHERE m BETWEEN 540 AND 659 AND dayofweek(d) BETWEEN 1 AND 5 AND d + m * INTERVAL '1' MINUTE > next_fire_time AND d + m * INTERVAL '1' MINUTE <= next_fire_time + INTERVAL '3' DAY", text="0 */20 9-10 * * MON-FRI", zone="UTC", days=3, below=20)
-def first_cron_fires(jobs: DataFrame, text: str, zone: str, days: int, below: int) -> DataFrame:
-    """The fires of the first jobs only, as the registered SQL has them."""
-    return cron_fires(jobs.where(F.col("job_id") < below), text, zone, days)
-
-
-@query("t03b_cron_fires_all", "jobs", "SELECT job_id, d + m * INTERVAL '1' MINUTE AS fire_time FROM jobs, range({now} - INTERVAL '1' DAY, {now} + INTERVAL '5' DAY, INTERVAL '1' DAY) r(d), range(0, 1440, 20) s(m) WHERE m BETWEEN 540 AND 659 AND dayofweek(d) BETWEEN 1 AND 5 AND d + m * INTERVAL '1' MINUTE > next_fire_time AND d + m * INTERVAL '1' MINUTE <= next_fire_time + INTERVAL '3' DAY", text="0 */20 9-10 * * MON-FRI", zone="UTC", days=3)
+@query("t03_cron_fires_utc", "jobs", "SELECT job_id, d + m * INTERVAL '1' MINUTE AS fire_time FROM jobs, range({now} - INTERVAL '1' DAY, {now} + INTERVAL '5' DAY, INTERVAL '1' DAY) r(d), range(0, 1440, 20) s(m) WHERE m BETWEEN 540 AND 659 AND dayofweek(d) BETWEEN 1 AND 5 AND d + m * INTERVAL '1' MINUTE > next_fire_time AND d + m * INTERVAL '1' MINUTE <= next_fire_time + INTERVAL '3' DAY", text="0 */20 9-10 * * MON-FRI", zone="UTC", days=3)
 def cron_fires(jobs: DataFrame, text: str, zone: str, days: int) -> DataFrame:
-    """Fires of a cron schedule for every job, from each one's cursor."""
+    """Fires of one cron schedule for every job, from each one's cursor."""
     rows = jobs.select("job_id", "next_fire_time")
     return cron.fires(rows, cron.parse(text), zone, "next_fire_time", days).select("job_id", "fire_time")
 
 
-@query("t06_schedule_preview", "jobs", None, text="0 30 1,2 * * *", zone="America/New_York", most=5)
-def preview(jobs: DataFrame, text: str, zone: str, most: int) -> DataFrame:
+@query("t03b_own_cron_fires", "jobs", days=70)
+def own_cron_fires(jobs: DataFrame, days: int) -> DataFrame:
+    """Fires of every job's own schedule in its own zone, from its cursor."""
+    rows = cron.parsed(jobs.select("job_id", "next_fire_time", "schedule_value", "zone"), "schedule_value")
+    return cron.fires(rows, "cron", F.col("zone"), "next_fire_time", days).select("job_id", "fire_time", "local_time")
+
+
+@query("e03_next_after", "jobs")
+def next_after(jobs: DataFrame) -> DataFrame:
+    """The next fire of every job's own schedule after its cursor; null where it has none."""
+    rows = jobs.select("job_id", "next_fire_time", "schedule_value", "zone")
+    first = cron.next_fires(rows, "schedule_value", "zone", "next_fire_time", 1).groupBy("job_id").agg(F.min("fire_time").alias("following"))
+    return jobs.select("job_id").join(first, "job_id", "left")
+
+
+@query("t06_schedule_preview", "jobs", None, most=5)
+def preview(jobs: DataFrame, most: int) -> DataFrame:
     """The next fires of each job with their local time; the most is clamped to 1 to 20, as the feature has it."""
-    most = max(1, min(20, most))
-    all_fires = cron.next_fires(jobs.select("job_id", "next_fire_time"), cron.parse(text), zone, "next_fire_time", most)
+    most = max(1, min(cron.MOST, most))
+    all_fires = cron.next_fires(jobs.select("job_id", "next_fire_time", "schedule_value", "zone"), "schedule_value", "zone", "next_fire_time", most)
     rank = F.row_number().over(W.partitionBy("job_id").orderBy("fire_time"))
     return all_fires.withColumn("k", rank).where(F.col("k") <= most).select("job_id", "k", "fire_time", "local_time")
 
@@ -119,7 +128,8 @@ def duration_text(executions: DataFrame) -> DataFrame:
 
 @query("e12_age_seconds", "outbox", "SELECT outbox_id, greatest(0, date_diff('millisecond', available_at, {now})) / 1000.0 AS age_s FROM outbox")
 def age_seconds(outbox: DataFrame) -> DataFrame:
-    return outbox.select("outbox_id", (F.greatest(F.lit(0).cast("long"), F.timestamp_diff("MILLISECOND", F.col("available_at"), now())) / 1000.0).alias("age_s"))
+    age = F.greatest(F.lit(0).cast("long"), F.timestamp_diff("MILLISECOND", F.col("available_at"), now())) / 1000.0
+    return outbox.select("outbox_id", F.when(F.col("available_at").isNotNull(), age).alias("age_s"))
 
 
 @query("e13_clock_offset", "outbox", "SELECT outbox_id, date_diff('millisecond', dispatch_time + (date_diff('millisecond', dispatch_time, available_at) // 2) * INTERVAL '1' MILLISECOND, updated_at) AS offset_ms FROM outbox WHERE available_at >= dispatch_time")
