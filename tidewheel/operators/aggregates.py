@@ -128,68 +128,102 @@ def overview(jobs: DataFrame, nodes: DataFrame, instances: DataFrame) -> DataFra
     one = jobs.agg(F.count(F.lit(1)).alias("total"), count_of(F.col("enabled"), "enabled"), count_of(~F.col("enabled"), "disabled"), F.min(F.when(F.col("enabled"), F.col("next_fire_time"))).alias("next_fire"))
     two = nodes.agg(count_of(F.col("status") == "ONLINE", "nodes_online"))
     three = instances.agg(F.count(F.lit(1)).alias("instances_all"), count_of(F.col("status") == "ONLINE", "instances_online"))
-    tag = lambda df: df.withColumn("one", F.lit(1))  # noqa: E731 -- three single rows side by side
-    return tag(one).join(tag(two), "one").join(tag(three), "one").drop("one")
+    return side_by_side(one, two, three)
 
 
-@query(
-    "a13_job_gauges",
-    "jobs",
-    """SELECT count(*) FILTER (WHERE enabled AND next_fire_time <= {now}) AS due,
-       coalesce(max(CASE WHEN enabled AND next_fire_time <= {now} THEN date_diff('second', next_fire_time, {now}) END), 0) AS max_overdue_s, min(next_fire_time) AS next_fire FROM jobs""",
-)
-def job_gauges(jobs: DataFrame) -> DataFrame:
-    """The gauge of the next fire spans all jobs, unlike the overview's."""
-    overdue = F.when(is_due(), seconds_between("next_fire_time", now()))
-    return jobs.agg(count_of(is_due(), "due"), F.coalesce(F.max(overdue), F.lit(0).cast("long")).alias("max_overdue_s"), F.min("next_fire_time").alias("next_fire"))
+OPEN = "status NOT IN ('DONE', 'DEAD')"
+GAUGES_SQL = f"""SELECT (SELECT count(*) FROM jobs WHERE enabled AND next_fire_time <= {{now}}) AS due,
+  coalesce((SELECT max(date_diff('millisecond', next_fire_time, {{now}})) FROM jobs WHERE enabled AND next_fire_time <= {{now}}), 0) / 1000.0 AS max_overdue_s, (SELECT min(next_fire_time) FROM jobs) AS next_fire,
+  (SELECT count(*) FROM outbox WHERE {OPEN}) AS pending, (SELECT count(*) FROM outbox WHERE status = 'DEAD') AS dead,
+  (SELECT count(*) FROM executions WHERE status = 'RUNNING') AS running, (SELECT count(*) FROM executions WHERE status IN ('FAILED', 'TIMEOUT')) AS failed,
+  greatest(0, coalesce(date_diff('millisecond', (SELECT min(dispatch_time) FROM outbox WHERE {OPEN}), {{now}}), 0)) / 1000.0 AS oldest_age_s"""
+
+
+@query("a13_job_gauges", "jobs outbox executions", GAUGES_SQL)
+def job_gauges(jobs: DataFrame, outbox: DataFrame, executions: DataFrame) -> DataFrame:
+    """The gauge of the next fire spans all jobs, unlike the overview's; three single rows side by side."""
+    zero = F.lit(0).cast("long")
+    overdue = F.when(is_due(), F.timestamp_diff("MILLISECOND", F.col("next_fire_time"), now()))
+    one = jobs.agg(count_of(is_due(), "due"), (F.coalesce(F.max(overdue), zero) / 1000.0).alias("max_overdue_s"), F.min("next_fire_time").alias("next_fire"))
+    open_ = ~F.col("status").isin("DONE", "DEAD")
+    age = F.timestamp_diff("MILLISECOND", F.min(F.when(open_, F.col("dispatch_time"))), now())
+    two = outbox.agg(count_of(open_, "pending"), count_of(F.col("status") == "DEAD", "dead"), (F.greatest(zero, F.coalesce(age, zero)) / 1000.0).alias("oldest_age_s"))
+    three = executions.agg(count_of(F.col("status") == "RUNNING", "running"), count_of(F.col("status").isin("FAILED", "TIMEOUT"), "failed"))
+    return side_by_side(one, two, three)
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Single rows as one."""
+    first, *others = [r.withColumn("_one", F.lit(1)) for r in rows]
+    for r in others:
+        first = first.join(r, "_one")
+    return first.drop("_one")
 
 
 def latency_ms() -> Column:
-    return F.greatest(F.lit(0).cast("long"), F.timestamp_diff("MILLISECOND", F.col("scheduled_fire_time"), F.col("dispatch_time")))
+    """Delay of dispatch, not below zero; null for what has not been dispatched."""
+    delay = F.timestamp_diff("MILLISECOND", F.col("scheduled_fire_time"), F.col("dispatch_time"))
+    return F.when(delay.isNotNull(), F.greatest(F.lit(0).cast("long"), delay))
+
+
+LATENCY_SQL = "CASE WHEN dispatch_time IS NOT NULL THEN greatest(0, date_diff('millisecond', scheduled_fire_time, dispatch_time)) END"
 
 
 @query(
     "a14_latency_histogram",
     "executions",
-    "SELECT CAST(b AS DOUBLE) AS le, count(*) FILTER (WHERE v <= b) AS n FROM (SELECT greatest(0, date_diff('millisecond', scheduled_fire_time, dispatch_time)) / 1000.0 AS v FROM executions), (VALUES (0.01), (0.05), (0.1), (0.25), (0.5), (1.0), (5.0), (30.0), (1e308)) t(b) GROUP BY b",
+    f"WITH d AS (SELECT {LATENCY_SQL} AS ms FROM executions) SELECT CAST(b AS DOUBLE) AS le, count(*) FILTER (WHERE ms / 1000.0 <= b) AS n, count(ms) AS observed, sum(ms) / 1000.0 AS sum_s, max(ms) / 1000.0 AS max_s FROM d, (VALUES (0.01), (0.05), (0.1), (0.25), (0.5), (1.0), (5.0), (30.0), (1e308)) t(b) GROUP BY b",
 )
 def latency_histogram(executions: DataFrame) -> DataFrame:
-    """Cumulative counts by upper bound in seconds; one pass, one row of sums, unpivoted after it."""
+    """Cumulative counts by upper bound in seconds, with count, sum and maximum; one pass, one row of sums, unpivoted after it."""
     bounds = [*BOUNDS, 1e308]
     value = latency_ms() / 1000.0
-    sums = executions.agg(*[F.count_if(value <= b).alias(f"b{k}") for k, b in enumerate(bounds)])
+    whole = [F.count("ms").alias("observed"), (F.sum("ms") / 1000.0).alias("sum_s"), (F.max("ms") / 1000.0).alias("max_s")]
+    sums = executions.withColumn("ms", latency_ms()).agg(*[F.count_if(value <= b).alias(f"b{k}") for k, b in enumerate(bounds)], *whole)
     pairs = F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)])
-    return sums.select(F.explode(pairs).alias("p")).select("p.le", "p.n")
+    return sums.select(F.explode(pairs).alias("p"), "observed", "sum_s", "max_s").select("p.le", "p.n", "observed", "sum_s", "max_s")
+
+
+def exact_ranks(rows: DataFrame, by: list[str], value: str, percents: list[int]) -> DataFrame:
+    """Nearest-rank percentiles p50, p95, ... of a non-negative value, with n and top, for each group; nulls do not count.
+
+    Values are counted, and the counts summed in buckets of a twentieth of a doubling, so that a group has some hundreds at
+    most. Only the buckets that hold a wanted rank are sorted by value.
+    """
+    bucket = F.floor(F.log2(F.col(value) + 1.0) * 20).cast("int")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", bucket)
+    sums = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in"), F.max(value).alias("_top"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    upto = F.sum("_in").over(group.orderBy("_bucket"))
+    totals = sums.withColumns({"_before": upto - F.col("_in"), "n": F.sum("_in").over(group), "top": F.max("_top").over(group)})
+    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.ceil(F.lit(p) * F.col("n") / 100).alias("rank")) for p in percents])
+    held = totals.select("*", F.explode(wanted).alias("_w")).where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_in")))
+    met = counts.join(held.drop("_in", "_top"), [*by, "_bucket"])
+    run = F.sum("_n").over(W.partitionBy(*by, "_bucket", "_w.p").orderBy(value))
+    met = met.withColumn("_upto", F.col("_before") + run).where(F.col("_upto") >= F.col("_w.rank"))
+    found = [F.min(F.when(F.col("_w.p") == p, F.col(value))).alias(f"p{p}") for p in percents]
+    return met.groupBy(*by).agg(F.max("n").alias("n"), *found, F.max("top").alias("top"))
 
 
 @query(
     "a15_exact_percentiles",
     "executions",
-    """SELECT CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(v, 0.99) AS BIGINT) AS p99, max(v) AS top
-       FROM (SELECT greatest(0, date_diff('millisecond', scheduled_fire_time, dispatch_time)) AS v FROM executions)""",
+    f"""SELECT CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(v, 0.99) AS BIGINT) AS p99, max(v) AS top
+       FROM (SELECT {LATENCY_SQL} AS v FROM executions)""",
 )
 def exact_percentiles(executions: DataFrame) -> DataFrame:
-    """Nearest rank from value counts: distinct values are few, so no task sees all rows."""
-    counts = executions.select(latency_ms().alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    total, run = W.partitionBy(), W.orderBy("v")
-    ranked = counts.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(total))
-    rank = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total") / 100), F.col("v")))
-    return ranked.agg(rank(50).alias("p50"), rank(95).alias("p95"), rank(99).alias("p99"), F.max("v").alias("top"))
+    return exact_ranks(executions.select(latency_ms().alias("v")), [], "v", [50, 95, 99]).select("p50", "p95", "p99", "top")
 
 
 @query(
     "a16_scheduling_latency",
     "executions",
-    """SELECT status, count(*) AS n, CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(v, 0.99) AS BIGINT) AS p99, max(v) AS top
-       FROM (SELECT status, greatest(0, date_diff('millisecond', scheduled_fire_time, dispatch_time)) AS v FROM executions) GROUP BY status""",
+    f"""SELECT status, count(v) AS n, CAST(quantile_disc(v, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(v, 0.95) AS BIGINT) AS p95, CAST(quantile_disc(v, 0.99) AS BIGINT) AS p99, max(v) AS top
+       FROM (SELECT status, {LATENCY_SQL} AS v FROM executions) GROUP BY status HAVING count(v) > 0""",
 )
 def scheduling_latency(executions: DataFrame) -> DataFrame:
-    """Delay of dispatch behind schedule by status: count and exact percentiles in ms."""
-    counts = executions.select("status", latency_ms().alias("v")).groupBy("status", "v").agg(F.count(F.lit(1)).alias("n"))
-    mine = W.partitionBy("status")
-    ranked = counts.withColumn("upto", F.sum("n").over(mine.orderBy("v"))).withColumn("total", F.sum("n").over(mine))
-    rank = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.lit(p) * F.col("total") / 100), F.col("v")))
-    return ranked.groupBy("status").agg(F.max("total").alias("n"), rank(50).alias("p50"), rank(95).alias("p95"), rank(99).alias("p99"), F.max("v").alias("top"))
+    """Delay of dispatch behind schedule by status: count of what was dispatched, and exact percentiles in ms."""
+    return exact_ranks(executions.select("status", latency_ms().alias("v")), ["status"], "v", [50, 95, 99])
 
 
 @query("a17_duplicate_ids", "lineitem", "SELECT count(*) AS duplicates FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)", keys=["l_orderkey", "l_linenumber"])
@@ -204,7 +238,7 @@ def success_rate(executions: DataFrame) -> DataFrame:
     return executions.agg(F.round(F.lit(100.0) * F.count_if(F.col("status") == "SUCCEEDED") / ended, 1).alias("success_percent"))
 
 
-@query("a19_average_delay", "executions", "SELECT job_id, CAST(round(avg(greatest(0, date_diff('millisecond', scheduled_fire_time, dispatch_time)))) AS BIGINT) AS delay_ms FROM executions GROUP BY job_id")
+@query("a19_average_delay", "executions", f"SELECT job_id, CAST(round(avg({LATENCY_SQL})) AS BIGINT) AS delay_ms FROM executions GROUP BY job_id")
 def average_delay(executions: DataFrame) -> DataFrame:
     return executions.groupBy("job_id").agg(F.round(F.avg(latency_ms())).cast("long").alias("delay_ms"))
 
@@ -240,20 +274,26 @@ def status_shares(executions: DataFrame) -> DataFrame:
 
 @query(
     "a23_shards_per_node",
-    "jobs",
-    """WITH c AS (SELECT group_id, count(DISTINCT shard_id) AS n FROM jobs GROUP BY group_id), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, group_id) AS k FROM c)
-       SELECT CASE WHEN k <= 5 THEN CAST(group_id AS VARCHAR) ELSE 'other' END AS node, CAST(sum(n) AS BIGINT) AS shards FROM r GROUP BY 1""",
+    "nodes",
+    """WITH c AS (SELECT node_id, len(list_filter(string_split(shards, ','), lambda x: x <> '')) AS n FROM nodes), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, node_id) AS k FROM c WHERE n > 0)
+       SELECT CASE WHEN k <= 5 THEN node_id ELSE 'other' END AS node, CAST(sum(n) AS BIGINT) AS shards FROM r GROUP BY 1""",
 )
-def shards_per_group(jobs: DataFrame, top: int = 5) -> DataFrame:
-    """Shards of the five largest owners, the rest folded into one."""
-    counts = jobs.groupBy("group_id").agg(F.countDistinct("shard_id").alias("n"))
-    ranked = counts.withColumn("k", F.row_number().over(W.orderBy(F.col("n").desc(), "group_id")))
-    return ranked.groupBy(F.when(F.col("k") <= top, F.col("group_id").cast("string")).otherwise("other").alias("node")).agg(F.sum("n").alias("shards"))
+def shards_per_node(nodes: DataFrame, top: int = 5) -> DataFrame:
+    """Shards of the five nodes that own most, the rest folded into one row; nodes without shards are left out."""
+    counts = nodes.select(F.col("node_id").alias("node"), F.size(shard_set()).cast("long").alias("shards")).where("shards > 0")
+    first = counts.orderBy(F.col("shards").desc(), "node").limit(top)
+    rest = counts.join(first.select("node"), "node", "left_anti").agg(F.sum("shards").alias("shards")).where("shards > 0")
+    return first.unionByName(rest.select(F.lit("other").alias("node"), "shards"))
 
 
-@query("a24_distinct_shards", "jobs", "SELECT count(DISTINCT shard_id) AS shards FROM jobs")
-def distinct_shards(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(F.countDistinct("shard_id").alias("shards"))
+def shard_set() -> Column:
+    return F.filter(F.split("shards", ","), lambda x: x != "")
+
+
+@query("a24_distinct_shards", "nodes", "SELECT count(DISTINCT x) AS shards FROM (SELECT unnest(string_split(shards, ',')) AS x FROM nodes) WHERE x <> ''")
+def distinct_shards(nodes: DataFrame) -> DataFrame:
+    """Shards that any node owns."""
+    return nodes.select(F.explode(shard_set()).alias("x")).agg(F.countDistinct("x").alias("shards"))
 
 
 @query("a25_active_jobs", "executions", "SELECT DISTINCT job_id FROM executions WHERE status NOT IN {terminal}")
@@ -317,3 +357,33 @@ def alert_windows(history: DataFrame, most: int = 5) -> DataFrame:
     """Events of a kind in each hour, and whether their number passes the alert's bound."""
     counts = history.groupBy(F.date_trunc("hour", "occurred_at").cast("timestamp_ntz").alias("start"), "action_name").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("firing", F.col("n") > most)
+
+
+#: Alerts on the increase of a counter: the counter, minutes of the window, and what the increase must pass.
+INCREASES = {"delivery_exhausted": ("purchase", 10, 0), "lease_renewal_failure": ("refund", 5, 0), "registration_rejected": ("view", 10, 5), "forwarding_failure": ("click", 5, 5)}
+
+
+@query(
+    "r06b_alerts",
+    "jobs outbox executions history",
+    f"""WITH g AS ({GAUGES_SQL}), s AS (SELECT coalesce(max(n), 0) AS n FROM (SELECT count(*) AS n FROM jobs WHERE enabled AND next_fire_time <= {{now}} GROUP BY shard_id)),
+        c AS (SELECT coalesce(max(abs(date_diff('millisecond', dispatch_time + (date_diff('millisecond', dispatch_time, available_at) // 2) * INTERVAL '1' MILLISECOND, updated_at))), 0) AS ms FROM outbox WHERE available_at >= dispatch_time),
+        q AS (SELECT quantile_disc(v, 0.99) / 1000.0 AS p99 FROM (SELECT {LATENCY_SQL} AS v FROM executions))
+        SELECT 'scheduler_p99_delay' AS alert, CAST(p99 AS DOUBLE) AS value, p99 > 1 AS firing FROM q UNION ALL SELECT 'jobs_overdue' AS alert, CAST(max_overdue_s AS DOUBLE) AS value, max_overdue_s > 10 AS firing FROM g
+        UNION ALL SELECT 'shard_backlog' AS alert, CAST(n AS DOUBLE) AS value, n > 1000 AS firing FROM s UNION ALL SELECT 'outbox_stalled' AS alert, CAST(oldest_age_s AS DOUBLE) AS value, oldest_age_s > 60 AS firing FROM g
+        UNION ALL SELECT 'clock_drift' AS alert, CAST(ms AS DOUBLE) AS value, ms > 1000 AS firing FROM c"""
+    + "".join(f" UNION ALL SELECT '{name}' AS alert, CAST(count(*) AS DOUBLE) AS value, count(*) > {most} AS firing FROM history WHERE action_name = '{kind}' AND occurred_at > {{now}} - INTERVAL '{minutes}' MINUTE AND occurred_at <= {{now}}" for name, (kind, minutes, most) in INCREASES.items()),
+)
+def alerts(jobs: DataFrame, outbox: DataFrame, executions: DataFrame, history: DataFrame) -> DataFrame:
+    """The nine alert rules at now, each with the value that it judges; counters are counts of events of a kind."""
+    gauges = job_gauges(jobs, outbox, executions)
+    p99 = exact_percentiles(executions).select((F.col("p99") / 1000.0).alias("p99_s"))
+    backlog = due_by_shard(jobs).agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("backlog"))
+    middle = F.expr("timestampadd(MILLISECOND, timestampdiff(MILLISECOND, dispatch_time, available_at) div 2, dispatch_time)")
+    drift = outbox.where("available_at >= dispatch_time").agg(F.coalesce(F.max(F.abs(F.timestamp_diff("MILLISECOND", middle, F.col("updated_at")))), F.lit(0).cast("long")).alias("drift_ms"))
+    inside = lambda kind, minutes: (F.col("action_name") == kind) & (F.col("occurred_at") > now() - F.expr(f"INTERVAL '{minutes}' MINUTE")) & (F.col("occurred_at") <= now())
+    risen = history.agg(*[F.count_if(inside(kind, minutes)).alias(name) for name, (kind, minutes, _) in INCREASES.items()])
+    rules = {"scheduler_p99_delay": ("p99_s", 1), "jobs_overdue": ("max_overdue_s", 10), "shard_backlog": ("backlog", 1000), "outbox_stalled": ("oldest_age_s", 60), "clock_drift": ("drift_ms", 1000)}
+    rules |= {name: (name, most) for name, (_, _, most) in INCREASES.items()}
+    lines = F.array(*[F.struct(F.lit(a).alias("alert"), F.col(c).cast("double").alias("value"), (F.col(c) > most).alias("firing")) for a, (c, most) in rules.items()])
+    return side_by_side(gauges, p99, backlog, drift, risen).select(F.explode(lines).alias("l")).select("l.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.codecs import decode_map
 from ..plans.query import TERMINAL, now, query
 
 
@@ -105,13 +106,26 @@ def carried_targets(targets: DataFrame) -> DataFrame:
 
 @query(
     "f14_fenced_results",
-    "executions leases",
-    "SELECT e.execution_id FROM executions e JOIN leases l ON e.job_id % 32 = l.shard_id AND e.owner_node_id = l.owner_node_id AND e.fencing_token = l.fencing_token WHERE e.status NOT IN {terminal}",
+    "executions targets jobs leases",
+    """WITH r AS (SELECT execution_id, shard_index, instance_id, CASE WHEN shard_index % 3 = 0 THEN 'inst-x' ELSE instance_id END AS reporter FROM targets)
+       SELECT r.execution_id, r.shard_index, r.instance_id = r.reporter AND e.status NOT IN {terminal} AND l.shard_id IS NOT NULL AS accepted FROM r JOIN executions e USING (execution_id) JOIN jobs j USING (job_id)
+       LEFT JOIN leases l ON j.shard_id = l.shard_id AND e.owner_node_id = l.owner_node_id AND e.fencing_token = l.fencing_token""",
 )
-def fenced_results(executions: DataFrame, leases: DataFrame) -> DataFrame:
-    """Active executions whose owner and token still hold the lease of their shard."""
-    keyed = executions.where(~is_terminal()).withColumn("shard_id", F.col("job_id") % 32)
-    return keyed.join(leases, ["shard_id", "owner_node_id", "fencing_token"], "left_semi").select("execution_id")
+def reported_results(executions: DataFrame, targets: DataFrame, jobs: DataFrame, leases: DataFrame) -> DataFrame:
+    """A report of each target, some from an instance that is not its own."""
+    reporter = F.when(F.col("shard_index") % 3 == 0, "inst-x").otherwise(F.col("instance_id"))
+    return fenced_results(executions, targets.select("execution_id", "shard_index", "instance_id", reporter.alias("reporter")), jobs, leases)
+
+
+def fenced_results(executions: DataFrame, reports: DataFrame, jobs: DataFrame, leases: DataFrame) -> DataFrame:
+    """Which reports (execution_id, shard_index, instance_id, reporter) count.
+
+    The execution is active, its owner and token still hold the lease of its job's shard, and the target's own instance reports.
+    """
+    held = leases.select("shard_id", "owner_node_id", "fencing_token", F.lit(True).alias("held"))
+    keyed = executions.select("execution_id", "job_id", "status", "owner_node_id", "fencing_token").join(jobs.select("job_id", "shard_id"), "job_id").join(held, ["shard_id", "owner_node_id", "fencing_token"], "left")
+    accepted = (F.col("instance_id") == F.col("reporter")) & ~is_terminal() & F.col("held").isNotNull()
+    return reports.join(keyed, "execution_id").select("execution_id", "shard_index", accepted.alias("accepted"))
 
 
 @query(
@@ -123,20 +137,27 @@ def fenced_results(executions: DataFrame, leases: DataFrame) -> DataFrame:
 def instance_status(instances: DataFrame, seconds: int = 12) -> DataFrame:
     fresh = (F.col("status") == "ONLINE") & (F.col("last_heartbeat_at") >= now() - F.expr(f"INTERVAL '{seconds}' SECOND"))
     age = F.timestamp_diff("SECOND", F.col("last_heartbeat_at"), now())
-    return instances.select("instance_id", F.when(fresh, "ONLINE").otherwise("OFFLINE").alias("derived_status"), F.greatest(F.lit(0).cast("long"), age).alias("age_s"))
+    return instances.select("instance_id", F.when(fresh, "ONLINE").otherwise("OFFLINE").alias("derived_status"), F.when(age.isNotNull(), F.greatest(F.lit(0).cast("long"), age)).alias("age_s"))
 
 
 @query(
     "f16_handler_names",
     "jobs",
-    """SELECT job_id, CASE WHEN starts_with(handler_name, 'remote:') AND len(string_split(handler_name, ':')) >= 3 THEN split_part(handler_name, ':', 2) ELSE 'embedded' END AS executor,
-       CASE WHEN starts_with(handler_name, 'remote:') AND len(string_split(handler_name, ':')) >= 3 THEN regexp_extract(handler_name, '^[^:]*:[^:]*:(.*)$', 1) ELSE handler_name END AS handler FROM jobs""",
+    """SELECT job_id, CASE WHEN trim(given_executor) <> '' THEN given_executor WHEN starts_with(handler_name, 'remote:') THEN split_part(handler_name, ':', 2) ELSE 'embedded' END AS executor,
+       CASE WHEN trim(given_handler) <> '' THEN given_handler WHEN starts_with(handler_name, 'remote:') AND len(string_split(handler_name, ':')) >= 3 THEN regexp_extract(handler_name, '^[^:]*:[^:]*:(.*)$', 1) ELSE handler_name END AS handler
+       FROM (SELECT *, replace(regexp_extract(parameters, '(^|&)executorName=([^&]*)', 2), '%20', ' ') AS given_executor, replace(regexp_extract(parameters, '(^|&)handlerName=([^&]*)', 2), '%20', ' ') AS given_handler FROM jobs)""",
 )
 def handler_names(jobs: DataFrame) -> DataFrame:
-    """``remote:executor:handler`` in at most three parts; any other name is an embedded handler."""
+    """Executor and handler of a job: its parameters, if they are not blank, then the parts of ``remote:executor:handler``; any other name is an embedded handler."""
+    given = decode_map(F.col("parameters"))
     parts = F.split("handler_name", ":", 3)
-    remote = F.col("handler_name").startswith("remote:") & (F.size(parts) == 3)
-    return jobs.select("job_id", F.when(remote, parts[1]).otherwise("embedded").alias("executor"), F.when(remote, F.get(parts, 2)).otherwise(F.col("handler_name")).alias("handler"))
+    remote = F.col("handler_name").startswith("remote:")
+    of = lambda name: F.when(F.trim(given[name]) != "", given[name])
+    return jobs.select(
+        "job_id",
+        F.coalesce(of("executorName"), F.when(remote, F.get(parts, 1)), F.lit("embedded")).alias("executor"),
+        F.coalesce(of("handlerName"), F.when(remote & (F.size(parts) == 3), F.get(parts, 2)), F.col("handler_name")).alias("handler"),
+    )
 
 
 @query("f17_prefix", "jobs", "SELECT job_id, job_name FROM jobs WHERE job_name LIKE 'Customer#00000001%'", prefix="Customer#00000001")
@@ -144,7 +165,24 @@ def with_prefix(jobs: DataFrame, prefix: str) -> DataFrame:
     return jobs.where(F.col("job_name").startswith(prefix)).select("job_id", "job_name")
 
 
-@query("f18_planned_rows", "jobs", "SELECT job_id, next_fire_time, CASE WHEN enabled THEN 'SCHEDULED' ELSE 'DISABLED' END AS status FROM jobs ORDER BY next_fire_time, job_id LIMIT 50")
-def planned_rows(jobs: DataFrame, most: int = 50) -> DataFrame:
+PLANNED = "SELECT job_id, next_fire_time, CASE WHEN enabled THEN 'SCHEDULED' ELSE 'DISABLED' END AS status FROM jobs WHERE NOT EXISTS (SELECT 1 FROM executions%s) ORDER BY next_fire_time, job_id LIMIT 50"
+
+
+@query("f18_planned_rows", "jobs executions", PLANNED % " WHERE job_id < 0", job=-1)
+@query("f18b_planned_beside_history", "jobs executions", PLANNED % "", job=None)
+def planned_if_none(jobs: DataFrame, executions: DataFrame, job: int | None) -> DataFrame:
+    """What a list shows where there are no executions yet, and where there are some: nothing then."""
+    return planned_rows(jobs, executions if job is None else executions.where(F.col("job_id") <= job))
+
+
+def planned_rows(jobs: DataFrame, history: DataFrame, most: int = 50) -> DataFrame:
     """What a list of executions shows before there are any: the earliest cursors."""
-    return jobs.select("job_id", "next_fire_time", F.when(F.col("enabled"), "SCHEDULED").otherwise("DISABLED").alias("status")).orderBy("next_fire_time", "job_id").limit(most)
+    first = jobs.select("job_id", "next_fire_time", F.when(F.col("enabled"), "SCHEDULED").otherwise("DISABLED").alias("status")).orderBy("next_fire_time", "job_id").limit(most)
+    none = history.limit(1).agg((F.count(F.lit(1)) == 0).alias("none")).where("none").withColumn("one", F.lit(1))
+    return first.withColumn("one", F.lit(1)).join(none, "one", "left_semi").drop("one")
+
+
+@query("x05_executable", "jobs", "SELECT job_id, schedule_type IN ('CRON', 'FIXED_RATE') AS executable FROM jobs")
+def executable(jobs: DataFrame) -> DataFrame:
+    """Schedules of another type than these two are refused."""
+    return jobs.select("job_id", F.col("schedule_type").isin("CRON", "FIXED_RATE").alias("executable"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.query import now, query
 from .filters import is_terminal
@@ -14,13 +14,7 @@ def retry_source(executions: DataFrame, outbox: DataFrame) -> DataFrame:
     return failed.join(outbox.select("execution_id", "attempt"), "execution_id")
 
 
-@query("j02_timeout_backfill", "executions jobs", "SELECT execution_id, coalesce(timeout_at, dispatch_time + timeout_s * INTERVAL '1' SECOND, {now}) AS timeout_at FROM executions LEFT JOIN (SELECT * FROM jobs WHERE job_id % 17 <> 0) USING (job_id)")
-def some_timeout_backfill(executions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The backfill with some jobs taken as gone, as the registered SQL has it."""
-    return timeout_backfill(executions, jobs.where("job_id % 17 <> 0"))
-
-
-@query("j02b_timeout_backfill_all", "executions jobs", "SELECT execution_id, coalesce(timeout_at, dispatch_time + timeout_s * INTERVAL '1' SECOND, {now}) AS timeout_at FROM executions LEFT JOIN jobs USING (job_id)")
+@query("j02_timeout_backfill", "executions jobs", "SELECT execution_id, coalesce(timeout_at, dispatch_time + timeout_s * INTERVAL '1' SECOND, {now}) AS timeout_at FROM executions LEFT JOIN jobs USING (job_id)")
 def timeout_backfill(executions: DataFrame, jobs: DataFrame) -> DataFrame:
     """Missing timeouts from the job; an execution whose job is gone expires now."""
     later = F.col("dispatch_time") + F.expr("timeout_s * INTERVAL '1' SECOND")
@@ -75,10 +69,11 @@ def instances_of_executors(jobs: DataFrame, instances: DataFrame) -> DataFrame:
     return jobs.select("executor_name").distinct().join(counts, "executor_name", "left").fillna(0, ["bound", "online"])
 
 
-@query("j11_retry_predecessor", "executions", "SELECT execution_id, lag(execution_id) OVER (PARTITION BY root_execution_id ORDER BY run_attempt) AS predecessor FROM executions")
+@query("j11_retry_predecessor", "executions", "SELECT e.execution_id, p.execution_id AS predecessor FROM executions e LEFT JOIN executions p ON p.root_execution_id = e.root_execution_id AND p.run_attempt = e.run_attempt - 1")
 def retry_predecessor(executions: DataFrame) -> DataFrame:
-    chain = W.partitionBy("root_execution_id").orderBy("run_attempt")
-    return executions.select("execution_id", F.lag("execution_id").over(chain).alias("predecessor"))
+    """The attempt before each one; none where that attempt is missing, even if an earlier one is there."""
+    before = executions.select("root_execution_id", (F.col("run_attempt") + 1).alias("run_attempt"), F.col("execution_id").alias("predecessor"))
+    return executions.join(before, ["root_execution_id", "run_attempt"], "left").select("execution_id", "predecessor")
 
 
 @query(

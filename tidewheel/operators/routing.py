@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import codecs
 from ..functions.hashing import crc_shard, fnv1a64
@@ -22,9 +22,17 @@ def job_shard(jobs: DataFrame, shards: int) -> DataFrame:
 
 @query("d25_reshard", "jobs executions", shards=64)
 def reshard(jobs: DataFrame, executions: DataFrame, shards: int) -> DataFrame:
-    """New shards of all jobs, and whether the job is quiet enough to move: no active execution."""
-    active = executions.where(~is_terminal()).select("job_id").distinct().withColumn("active", F.lit(True))
-    return jobs.join(active, "job_id", "left").select("job_id", crc_shard(F.col("job_id").cast("string"), shards).alias("shard_id"), (F.col("version") + 1).alias("version"), F.col("active").isNull().alias("quiet"))
+    """New shards and versions of all jobs, if the cluster is quiet: while any execution is active, nothing moves."""
+    active = executions.where(~is_terminal()).limit(1).agg((F.count(F.lit(1)) > 0).alias("busy")).withColumn("one", F.lit(1))
+    moved = F.when(F.col("busy"), F.col("shard_id").cast("int")).otherwise(crc_shard(F.col("job_id").cast("string"), shards))
+    met = jobs.withColumn("one", F.lit(1)).join(active, "one")
+    return met.select("job_id", moved.alias("shard_id"), (F.col("version") + F.when(F.col("busy"), 0).otherwise(1)).alias("version"), (~F.col("busy")).alias("quiet"))
+
+
+@query("d25b_reshard_quiet", "jobs executions", shards=64)
+def reshard_quiet(jobs: DataFrame, executions: DataFrame, shards: int) -> DataFrame:
+    """The same once all executions have ended; the caller then raises the stored revision and drops all leases."""
+    return reshard(jobs, executions.where(is_terminal()), shards)
 
 
 def owners(keys: DataFrame, nodes: DataFrame, key: str, node: str, separator: str, unsigned: bool) -> DataFrame:
@@ -121,9 +129,22 @@ def error_text(history: DataFrame) -> DataFrame:
     return history.select("history_id", F.substring(F.coalesce(F.nullif("props", F.lit("{}")), F.lit("")), 1, 4000).alias("error"))
 
 
-@query("e17_idempotency_key", "targets", "SELECT execution_id, shard_index, concat(execution_id, ':shard:', shard_index) AS key FROM targets")
-def idempotency_key(targets: DataFrame) -> DataFrame:
-    return targets.select("execution_id", "shard_index", F.concat("execution_id", F.lit(":shard:"), "shard_index").alias("key"))
+@query("e17_idempotency_key", "targets executions jobs", "SELECT t.execution_id, t.shard_index, concat(root_execution_id, ':shard:', shard_index) AS key, CAST(root_execution_id AS VARCHAR) AS root_key, CASE WHEN regexp_extract(parameters, '(^|&)region=([^&]*)', 2) <> '' THEN concat(job_id, ':', regexp_extract(parameters, '(^|&)region=([^&]*)', 2)) END AS parameter_key FROM targets t JOIN executions USING (execution_id) JOIN jobs USING (job_id)")
+def idempotency_keys(targets: DataFrame, executions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The key of every target by each strategy."""
+    met = targets.select("execution_id", "shard_index").join(executions.select("execution_id", "root_execution_id", "job_id"), "execution_id").join(jobs.select("job_id", "parameters"), "job_id")
+    return met.select("execution_id", "shard_index", idempotency_key("SHARD").alias("key"), idempotency_key("ROOT").alias("root_key"), idempotency_key("PARAMETER", "region").alias("parameter_key"))
+
+
+def idempotency_key(strategy: str, parameter: str = "") -> Column:
+    """The key by a strategy: of the whole chain of attempts, of its shard, or of the job and one of its parameters (null without it)."""
+    if strategy == "ROOT":
+        return F.col("root_execution_id").cast("string")
+    if strategy == "SHARD":
+        return F.concat("root_execution_id", F.lit(":shard:"), "shard_index")
+    if strategy == "PARAMETER":
+        return F.concat("job_id", F.lit(":"), codecs.decode_map(F.col("parameters"))[parameter])
+    raise ValueError(f"no strategy {strategy}")
 
 
 @query("d32_random_routing", "executions", instances=3, seed=7)

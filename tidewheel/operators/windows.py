@@ -18,6 +18,8 @@ from .filters import CLAIMABLE, claimable, is_due, is_terminal
 def due_batch(jobs: DataFrame, hard: int) -> DataFrame:
     """Due jobs that share the first fire time, at most ``hard``, flagged if there are more.
 
+    A soft limit never splits jobs of one time, and a batch has no other, so only the hard limit cuts.
+
     The minimum is an aggregate, so only ties are sorted.
     """
     rows = jobs.where(is_due()).select("job_id", "next_fire_time")
