@@ -6,6 +6,9 @@ training rows. The best path over a text's words, with a penalty for each switch
 spans, so a mixed text gets a span for each language. The prediction is the language
 whose spans hold most letters; the score is its share of all letters.
 
+Ties: of languages with equal letters, and of paths of equal worth, the one whose language comes first in the order of names wins;
+staying beats switching. Texts of any length are labelled whole, in time linear in their words.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0; words without a
 letter take the label around them; repeated rows get equal predictions; without training rows
 everything is ``und``; an empty table gives an empty result; a null doc_id trains (its hash is null,
@@ -42,10 +45,23 @@ SCRIPTS = {
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F)],
     "devanagari": [(0x900, 0x97F)],
     "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
     "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "myanmar": [(0x1000, 0x109F)],
     "georgian": [(0x10A0, 0x10FF)],
     "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
+    "ethiopic": [(0x1200, 0x137F)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FA1F)],
 }
@@ -214,24 +230,26 @@ def steady(scores: np.ndarray, switch: float = SWITCH) -> int:
 
 
 class Labeller:
-    """Labels texts; remembers the scores of words it has seen, up to a number of words."""
+    """Labels texts; remembers the scores of words it has seen, up to a number of words and of characters."""
 
-    def __init__(self, model: Model, most: int = 200_000):
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int = 200_000, most_chars: int = 4_000_000):
+        self.model, self.most, self.most_chars = model, most, most_chars
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.chars = 0
         self.scores = np.zeros((0, len(self.model.languages)))
         self.letters = np.zeros(0, np.int64)
 
     def spans(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """Words, labels and letter counts of each text."""
         split = [t.split() for t in texts]
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.chars > self.most_chars:
             self.clear()
         if new := list(set().union(*split).difference(self.index)):
             d = distinct_words(new)
+            self.chars += sum(map(len, new))
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
             self.scores = np.concatenate((self.scores, word_scores(self.model, d)))
             self.letters = np.concatenate((self.letters, d.letters))

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import PATTERN, byte_chars, read_ranks
 from .common import chunks, map_arrow, out_batch, table
 
-#: Pre-tokens a worker remembers before it starts afresh; memory only, results do not depend on it.
-REMEMBERED = 300_000
+#: Pre-tokens, and their characters, that a worker remembers before it starts afresh; memory only, results do not depend on it.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -81,12 +81,14 @@ class Codec:
         self.split = regex.compile(PATTERN).findall
         self.mapped = str.maketrans({b: c for b, c in enumerate(self.chars)})
         self.seen: dict[str, tuple[str, int, bytes]] = {}
+        self.seen_chars = 0
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
+        self.seen_chars += sum(map(len, words))
         coded = self.model.encode([r.decode("latin-1").translate(self.mapped) for r in raw], num_threads=1)
         for w, r, ids in zip(words, raw, coded):
             if (whole := self.ranks.get(r)) is not None:
@@ -96,8 +98,9 @@ class Codec:
     def digest(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Number of ids, digest of the ids and digest of the decoded bytes of each text."""
         split = [self.split(t) for t in texts]
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > REMEMBERED or self.seen_chars > REMEMBERED_CHARS:
             self.seen.clear()
+            self.seen_chars = 0
         if new := list(set().union(*split) - self.seen.keys()):
             self._learn(new)
         counts, ids, decoded = [], [], []

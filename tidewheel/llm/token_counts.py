@@ -7,7 +7,7 @@ documents then take their count from the cache. A lost executor repeats tasks, n
 
 Defined cases: null and empty texts have no bytes and the tokenizer's count for an empty text;
 repeated rows share one cache entry and each get a row; an empty table gives an empty
-result; a null doc_id is kept; extra columns are ignored. Content is not folded in any
+result; a null doc_id is kept; a text of any length is encoded whole, about CHUNK_CHARS characters at once besides one text; extra columns are ignored. Content is not folded in any
 other way, because counts depend on case, width and white space.
 """
 
