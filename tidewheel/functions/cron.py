@@ -149,7 +149,8 @@ def parsed(rows: DataFrame, text: str, most: int = MOST) -> DataFrame:
 
         return pd.DataFrame([one(t) for t in texts], columns=names).astype(object)
 
-    known = rows.select(F.col(text).alias("_text")).distinct().withColumn("cron", fields("_text"))
+    # declared not deterministic, as Spark would push a filter on the result below distinct and parse every row's text there
+    known = rows.select(F.col(text).alias("_text")).distinct().withColumn("cron", fields.asNondeterministic()("_text"))
     known = known.withColumn("cron", F.when(F.col("cron.horizon").isNotNull(), F.col("cron")))
     return rows.join(known, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
 
