@@ -1,6 +1,7 @@
 """Streams give what their batch forms give; folds give the outcomes worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.plans.relations import relation
 from tidewheel.streaming import deadlines, folds, lifecycle
@@ -19,6 +20,23 @@ def test_result_stream(spark, tmp_path):
     assert counts["ALREADY_APPLIED"] == batch[1] and counts["REJECTED"] == batch[2] and sum(counts.values()) == batch[0]
 
 
+def test_old_targets_are_forgotten(spark, tmp_path):
+    """Target 1 is known while the stream is within 30 days of its last result; 100 days on it starts anew."""
+    batches = [
+        [(1, 1, "2024-01-01", "SUCCEEDED")],
+        [(1, 2, "2024-01-20", "FAILED"), (2, 3, "2024-02-15", "FAILED")],
+        [(1, 4, "2024-02-16", "SUCCEEDED"), (3, 5, "2024-06-01", "FAILED")],
+        [(1, 6, "2024-06-02", "FAILED"), (3, 7, "2024-05-20", "SUCCEEDED")],
+    ]
+    schema = "job_id bigint, history_id bigint, occurred_at string, action_name string"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / f"in/k={k}"))
+        stream = spark.readStream.schema("job_id bigint, history_id bigint, occurred_at timestamp_ntz, action_name string").parquet(str(tmp_path / "in/*"))
+        got = lifecycle.run_to_table(lifecycle.result_stream(stream), spark, str(tmp_path / "out"))
+    outcomes = {r["history_id"]: r["outcome"] for r in got.collect()}
+    assert outcomes == {1: "APPLIED", 2: "REJECTED", 3: "APPLIED", 4: "ALREADY_APPLIED", 5: "APPLIED", 6: "APPLIED", 7: "REJECTED"}
+
+
 def test_windows_and_replays(spark, tmp_path):
     history = relation(spark, DATA, "history").selectExpr("history_id", "CAST(occurred_at AS TIMESTAMP) AS at", "action_name")
     history.write.parquet(str(tmp_path / "in"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.query import query
+from .lifecycle import hold
 
 State = tuple | None
 Fold = Callable[[State, object], tuple[State, str]]
@@ -81,20 +82,29 @@ def fold_batch(commands: DataFrame, fold: Fold) -> DataFrame:
     return dealt.mapInPandas(walk, OUTCOME)
 
 
-def fold_stream(commands: DataFrame, fold: Fold) -> DataFrame:
-    """The same for a stream; a batch's commands of a key are taken in order of seq."""
+def fold_stream(commands: DataFrame, fold: Fold, keep: str = "30 days") -> DataFrame:
+    """The same for a stream; a batch's commands of a key are taken in order of seq.
+
+    The state of a key goes once the stream is ``keep`` past its last command; commands that far behind the stream are not taken any more.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(kept.get) if kept.exists else None
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        *state, last = kept.get if kept.exists else (0,)
+        state = tuple(state) or None
         rows, outcomes = pd.concat(list(frames)).sort_values("seq"), []
         for c in rows.itertuples(index=False):
             state, outcome = fold(state, c)
             outcomes.append(outcome)
         if state is not None:
-            kept.update(state)
+            hold(kept, (*state, max(last, (int(rows["at"].max()) + 1) * 1000)))
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"], "outcome": outcomes})
 
-    return commands.groupBy("key").applyInPandasWithState(step, OUTCOME, "status string, number bigint, until bigint", "append", GroupStateTimeout.NoTimeout)
+    # a command's second has passed at its end; the watermark starts at the epoch, and what is not after it is late
+    timed = commands.withColumn("event_time", F.timestamp_seconds(F.col("at") + 1)).withWatermark("event_time", keep)
+    return timed.groupBy("key").applyInPandasWithState(step, OUTCOME, "status string, number bigint, until bigint, at_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def commands_of(history: DataFrame, ops: list[str], owners: list[str]) -> DataFrame:

@@ -15,8 +15,11 @@ RESULT = "job_id bigint, history_id bigint, outcome string"
 
 def apply_results(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """A target keeps its first result: the same again has been applied, any other is rejected."""
-    first = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["occurred_at", "history_id"])
+    if state.hasTimedOut:
+        state.remove()
+        return
+    first, last = state.get if state.exists else (None, 0)
+    rows = pd.concat(list(batches)).sort_values(["at_ms", "history_id"])
     outcomes = []
     for action in rows["action_name"]:
         if first is None:
@@ -24,13 +27,24 @@ def apply_results(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
             outcomes.append("APPLIED")
         else:
             outcomes.append("ALREADY_APPLIED" if action == first else "REJECTED")
-    state.update((first,))
+    hold(state, (first, max(last, int(rows["at_ms"].max()))))
     yield pd.DataFrame({"job_id": key[0], "history_id": rows["history_id"], "outcome": outcomes})
 
 
-def result_stream(events: DataFrame) -> DataFrame:
-    """Outcome of every result of a stream of history rows, with one value of state for each target."""
-    return events.groupBy("job_id").applyInPandasWithState(apply_results, RESULT, "first string", "append", GroupStateTimeout.NoTimeout)
+def hold(state: GroupState, value: tuple) -> None:
+    """Keeps a value, whose last field is the latest event time of its key in ms, until the watermark has passed that time."""
+    state.update(value)
+    state.setTimeoutTimestamp(max(value[-1], state.getCurrentWatermarkMs()) + 1)
+
+
+def result_stream(events: DataFrame, keep: str = "30 days") -> DataFrame:
+    """Outcome of every result of a stream of history rows, with two values of state for each target.
+
+    The state of a target goes once the stream is ``keep`` past its last result. Results that come later than that behind the
+    stream are not taken any more, so no result meets a target that has been forgotten before its time.
+    """
+    timed = events.withColumn("at", F.col("occurred_at").cast("timestamp")).withWatermark("at", keep).withColumn("at_ms", F.unix_millis("at"))
+    return timed.groupBy("job_id").applyInPandasWithState(apply_results, RESULT, "first string, at_ms bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
