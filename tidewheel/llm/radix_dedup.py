@@ -6,8 +6,8 @@ empty). A pass takes the next digit of bytes of every row that is still in quest
 leave; the rest go on at the next offset. Digits grow eightfold, so texts of n bytes need
 O(log n) passes and each byte moves once. No digest decides equality.
 
-Groups are counted before the shuffle, so a huge group is one row there; rows find their
-group by a join whose skew Spark splits. Each pass is written to a scratch table, with a place for each row; of the rows of a
+Groups are counted before the shuffle, so a huge group is one row there. Rows find their
+group by a join, in which a group with over a thousandth of the bytes in question is dealt over several parts. Each pass is written to a scratch table, with a place for each row; of the rows of a
 group that share its largest doc_id, the one at the least place stays, found by a partial aggregate.
 
 Defined cases: null and empty texts are equal, and end in the first pass; a text of any length is read to its end, in as many passes
@@ -24,9 +24,28 @@ from .common import materialize, table, whole_row
 
 #: Bytes of the first digit and the factor from one digit to the next.
 FIRST_DIGIT, GROWTH, WIDEST = 64, 8, 1 << 24
+#: A group with over a PARTS-th of the bytes in question is split; fewer than PARTS groups can be so large.
+PARTS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def dealt(cut: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: the rows of a large group are dealt over parts, and the group stands in each of them, at most once a row.
+
+    The hash only says which rows are dealt; groups that share a large one's are dealt like it.
+    """
+    spot = F.xxhash64("gid", "digit").alias("spot")
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    share = F.least(F.ceil(F.col("bytes") * PARTS / F.lit(total)), F.col("n"))
+    large = groups.where(F.col("bytes") * PARTS > F.lit(total)).groupBy(spot).agg(F.max(share).cast("long").alias("ways"))
+    ways = F.coalesce("ways", F.lit(1).cast("long"))
+    # fewer than PARTS rows of two numbers, whatever the corpus
+    rows = cut.withColumn("spot", spot).join(F.broadcast(large), "spot", "left")
+    each = groups.withColumn("spot", spot).join(F.broadcast(large), "spot", "left")
+    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), ways))
+    return rows.drop("spot", "ways"), each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1))).drop("spot", "ways", "bytes")
+
+
 def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIGIT, growth: int = GROWTH) -> DataFrame:
     """doc_id, text_sha256, keep_id and group_size of every row; keep_id is the group's largest doc_id.
 
@@ -37,15 +56,17 @@ def groups_of(docs: DataFrame, carry: bool = False, first_digit: int = FIRST_DIG
     # rows that are carried hold their text already; others carry what is left of it
     text = lambda column: F.encode(F.translate(F.coalesce(column, F.lit("")), UPPER, LOWER), "UTF-8")
     rest = [] if carry else ["rest"]
+    size = F.coalesce(F.octet_length("row.text" if carry else "rest"), F.lit(0)).cast("long") + 64  # with the row's other columns
     start = [whole_row(docs), "doc_id"] if carry else [text("text").alias("rest"), "doc_id", F.sha2(text("text"), 256).alias("text_sha256")]
     rows = docs.select(*start, F.lit(0).cast("long").alias("gid"))
     done, width, offset = [], first_digit, 0
     while True:
         cut = rows.withColumn("digit", F.substring(text("row.text"), offset + 1, width) if carry else F.substring("rest", 1, width))
-        groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1")
+        groups = cut.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"), F.sum(size).alias("bytes")).where("n > 1")
         groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
+        cut, groups = dealt(cut, groups)
         # the same join at every size: whether groups would fit a broadcast says nothing about the corpus
-        met = cut.join(groups.hint("merge"), ["gid", "digit"], "left")
+        met = cut.join(groups.hint("merge"), ["gid", "digit", "part"], "left")
         ended = F.octet_length("digit") < width  # a text that fills its digit goes on, and ends with an empty one
         single = F.col("n").isNull()
         later = [] if carry else [F.when(~single & ~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest")]
