@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.operators import aggregates, filters, joins, routing, transitions
+from tidewheel.operators import aggregates, filters, joins, routing, transitions, windows
 from tidewheel.plans import registry
 from tidewheel.plans.relations import relation
 
@@ -160,3 +160,26 @@ def test_exposition(spark):
     assert sum(int(x.rsplit(" ", 1)[1]) for x in lines if x.startswith("scheduler_shard_due_jobs")) == jobs.where(filters.is_due()).count()
     bounds = [x for x in lines if "_bucket" in x]
     assert len(bounds) == 9 and 'le="+Inf"' in bounds[-1] and bounds == sorted(bounds, key=lambda x: int(x.rsplit(" ", 1)[1]))
+
+
+@pytest.mark.parametrize(
+    "wanted, expected",
+    [
+        ("asia/tokyo", [("Asia/Tokyo", 0)]),
+        (" America/n", [("America/New_York", 1)]),
+        ("york", [("America/New_York", 2)]),
+        ("new_y", [("America/New_York", 3)]),
+        ("kyo", [("Asia/Tokyo", 3)]),
+        ("new york", [("America/New_York", 4)]),
+        ("as-t", [("Asia/Tokyo", 4)]),
+        ("a", [("America/New_York", 1), ("Asia/Tokyo", 1), ("Etc/GMT+5", None)]),
+        ("+5", [("Etc/GMT+5", 3)]),
+        ("", [("UTC", 0), ("Asia/Tokyo", 3), ("America/New_York", 7), ("Etc/GMT+5", 100)]),
+        ("zzz", []),
+    ],
+)
+def test_zone_search(spark, wanted, expected):
+    zones = spark.createDataFrame([(z,) for z in ("Etc/GMT+5", "UTC", "Asia/Tokyo", "America/New_York", "Asia/Tokyo", None)], "zone string")
+    got = [(r["zone"], r["score"]) for r in windows.name_search(zones, "zone", wanted).collect()]
+    assert got == [e for e in expected if e[1] is not None]
+    assert [(r["zone"], r["score"]) for r in windows.name_search(zones, "zone", wanted, 1).collect()] == got[:1]

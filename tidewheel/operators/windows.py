@@ -90,24 +90,47 @@ def retention_order(executions: DataFrame, before: str, most: int = 100) -> Data
     return executions.where(old).select("execution_id", "updated_at").orderBy("updated_at", "execution_id").limit(most)
 
 
+#: The zones that a blank search lists first, in this order.
+PREFERRED_ZONES = ["UTC", "Asia/Shanghai", "Asia/Hong_Kong", "Asia/Tokyo", "Asia/Singapore", "Europe/London", "Europe/Paris", "America/New_York", "America/Los_Angeles"]
+SEPARATORS = "/_ -"
+
+
 def search_score(name: Column, wanted: str) -> Column:
-    """0 equal, 1 prefix, 2 prefix of a part, 3 contained, 4 subsequence, null otherwise."""
+    """0 equal, 1 prefix, 2 prefix of a part, 3 contained, 4 subsequence without separators, null otherwise.
+
+    A blank search scores preferred names by their place and all others 100.
+    """
+    if not wanted:
+        at = F.array_position(F.array(*[F.lit(z) for z in PREFERRED_ZONES]), name).cast("int")
+        return F.when(at > 0, at - 1).otherwise(100)
     low = F.lower(name)
-    quoted = "".join("\\" + c if not c.isalnum() else c for c in wanted)
-    loose = ".*".join("\\" + c if not c.isalnum() else c for c in wanted)
-    return F.when(low == wanted, 0).when(low.startswith(wanted), 1).when(low.rlike(f"[/_ -]{quoted}"), 2).when(low.contains(wanted), 3).when(low.rlike(loose), 4)
+    part = F.exists(F.split(low, "[/_-]"), lambda x: x.startswith(wanted))
+    loose = "(?s)" + ".*".join(c if c.isalnum() else "\\" + c for c in wanted if c not in SEPARATORS)
+    close = F.translate(low, SEPARATORS, "").rlike(loose)
+    return F.when(low == wanted, 0).when(low.startswith(wanted), 1).when(part, 2).when(low.contains(wanted), 3).when(close, 4)
 
 
 @query(
     "w15_name_search",
     "nation",
-    """SELECT n_name, CASE WHEN lower(n_name) = 'nation_1' THEN 0 WHEN starts_with(lower(n_name), 'nation_1') THEN 1 WHEN regexp_matches(lower(n_name), '[/_ -]nation\\_1') THEN 2
-       WHEN contains(lower(n_name), 'nation_1') THEN 3 WHEN regexp_matches(lower(n_name), 'n.*a.*t.*i.*o.*n.*_.*1') THEN 4 END AS score FROM nation WHERE score IS NOT NULL""",
+    """SELECT n_name, CASE WHEN lower(n_name) = 'nation_1' THEN 0 WHEN starts_with(lower(n_name), 'nation_1') THEN 1
+         WHEN len(list_filter(regexp_split_to_array(lower(n_name), '[/_-]'), lambda x: starts_with(x, 'nation_1'))) > 0 THEN 2
+         WHEN contains(lower(n_name), 'nation_1') THEN 3 WHEN regexp_matches(translate(lower(n_name), '/_ -', ''), 'n.*a.*t.*i.*o.*n.*1') THEN 4 END AS score
+       FROM nation WHERE score IS NOT NULL ORDER BY score, n_name LIMIT 100""",
+    column="n_name",
     wanted="nation_1",
 )
-def name_search(nation: DataFrame, wanted: str) -> DataFrame:
-    """Ranked search as zone names are searched, here over a table's names."""
-    return nation.select("n_name", search_score(F.col("n_name"), wanted.lower()).alias("score")).where("score is not null")
+@query(
+    "w15b_zone_search",
+    "jobs",
+    "SELECT zone, CASE zone WHEN 'UTC' THEN 0 WHEN 'America/New_York' THEN 7 ELSE 100 END AS score FROM (SELECT DISTINCT zone FROM jobs) ORDER BY score, zone LIMIT 100",
+    column="zone",
+    wanted=" ",
+)
+def name_search(names: DataFrame, column: str, wanted: str, most: int = 100) -> DataFrame:
+    """The best names for a search, as zones are searched: by score, then by name."""
+    found = names.select(column).distinct().where(F.col(column).isNotNull())
+    return found.select(column, search_score(F.col(column), wanted.strip().lower()).alias("score")).where("score is not null").orderBy("score", column).limit(most)
 
 
 @query("t10_tick_budget", "jobs", "SELECT job_id, (SELECT count(*) FROM jobs WHERE enabled AND next_fire_time <= {now}) > 20 AS backlog FROM jobs WHERE enabled AND next_fire_time <= {now} ORDER BY next_fire_time, job_id LIMIT 20", budget=20)
